@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 NOT_WORD = r"[\x20\x09-\x0D]"
+OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or OWN.setdefault("dir", "")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
     return f"{found.rstrip('/')}/tidewatch-{spark.sparkContext.applicationId}"
 
 
