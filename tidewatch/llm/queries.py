@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import license_scan, mixing, packing, quality_rules, sharding, url_filter
+from tidewatch.llm import license_scan, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, url_filter
 from tidewatch.llm.common import table
 
 ORACLES: dict[str, str] = {"op4_license_scan": license_scan.ORACLE, "op7_url_filter": url_filter.ORACLE}
@@ -22,6 +22,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, listed = url_filter.as_list(spark, url_filter.RULES), url_filter.as_list(spark, url_filter.LISTED)
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules, listed)
@@ -41,4 +49,4 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_minimax_sharding, op4_license_scan, op7_url_filter, op8_quality_rules, op9_mix_sources, op10_mixture_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_minimax_sharding, op4_license_scan, op5_fuzzy_lines, op6_minhash_join, op7_url_filter, op8_quality_rules, op9_mix_sources, op10_mixture_packing)}
