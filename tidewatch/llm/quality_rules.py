@@ -107,7 +107,7 @@ def certified(k: int, n: int, share: float, level: float) -> bool:
     return top + math.log(sum(math.exp(x - top) for x in logs)) <= math.log(level)
 
 
-def fit_cutoffs(judged: DataFrame, risk: float = 0.01, delta: float = 0.05) -> dict[str, dict[str, int]]:
+def fit_cutoffs(judged: DataFrame, risk: float = 0.02, delta: float = 0.05) -> dict[str, dict[str, int]]:
     """Certified cutoffs by stratum, from rows (stratum, quality, STATS).
 
     One aggregation counts, for all labelled rows, what each cutoff would
@@ -157,7 +157,7 @@ def label_of(labels: DataFrame) -> DataFrame:
     return columns(labels, doc_id="doc_id", quality="quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """doc_id, STATS, base_failed, kept for each document."""
     stats = measured(docs)
     cutoffs = fit_cutoffs(stats.join(label_of(labels), "doc_id"), risk, delta)
@@ -165,7 +165,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta:
     return stats.select("doc_id", *NAMES, failed.alias("base_failed"), (~failed & verdict(F.col("stratum"), cutoffs)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of `docs` that pass, with their columns as they are.
 
     Measures are taken again in the scan that filters, which costs CPU but

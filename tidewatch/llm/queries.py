@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import license_scan, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, url_filter
+from tidewatch.llm import embedding_dedup, license_scan, line_dedup, minhash_dedup, mixing, packing, quality_classifier, quality_rules, sharding, url_filter
 from tidewatch.llm.common import table
 
 ORACLES: dict[str, str] = {"op4_license_scan": license_scan.ORACLE, "op7_url_filter": url_filter.ORACLE}
 
 
+def op1_embedding_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op2_bayes_hinge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.minimax_shards(table(spark, sf_dir, "documents"), 40)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -49,4 +57,4 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_minimax_sharding, op4_license_scan, op5_fuzzy_lines, op6_minhash_join, op7_url_filter, op8_quality_rules, op9_mix_sources, op10_mixture_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_bayes_hinge, op3_minimax_sharding, op4_license_scan, op5_fuzzy_lines, op6_minhash_join, op7_url_filter, op8_quality_rules, op9_mix_sources, op10_mixture_packing)}
