@@ -11,12 +11,13 @@ and so a band, with a probability above 0.99; more similar lines nearly always.
 Equal lines are one from the start. In each band bucket every line is compared
 with a hub, in a second round with another hub if the bucket still reaches
 several components, and at last with all lines of other components in the
-bucket. Candidates are verified on the whole sets. Linked lines are united by
+bucket. Candidates are compared by a longer sketch, then verified on the whole
+sets. Linked lines are united by
 distributed union-find; of a component the first line, by doc_id and place,
 stays.
 
 Lines are told apart by a 64-bit hash: among 10^10 different lines about three
-pairs are taken for equal.
+pairs are taken for equal. Shingles stand in the sets as 32-bit hashes.
 
 Defined cases: lines are what newlines part; a line without a word is neither
 compared nor dropped; a null text has no lines; a null doc_id comes first in
@@ -34,6 +35,7 @@ from tidewatch.llm.common import columns, components, written
 
 WIDTH = 10
 KEEP = 5
+SKETCH, AGREE = 12, 5
 BROADCAST_IDS = 1_000_000
 
 
@@ -44,7 +46,7 @@ def line_id(line: Column) -> Column:
 def shingles(line: Column) -> Column:
     """The sorted distinct hashes of a line's character shingles."""
     at_starts = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{WIDTH}}}))\S{{1,{WIDTH}}}\s*"), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(at_starts, lambda s: F.xxhash64(s))))
+    return F.sort_array(F.array_distinct(F.transform(at_starts, lambda s: F.hash(s))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -70,22 +72,34 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def agreeing(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and longer sketches don't rule the similarity out.
+
+    Of the SKETCH smallest hashes of two lines' union, a share as large as
+    their similarity is expected in both; AGREE is far below what 0.8 gives.
+    """
+    both = pairs.distinct().join(sketches.toDF("a", "n_a", "k_a"), "a").join(sketches.toDF("b", "n_b", "k_b"), "b")
+    least = F.slice(F.sort_array(F.array_union("k_a", "k_b")), 1, SKETCH)
+    common = F.size(F.array_intersect(F.array_intersect("k_a", "k_b"), least))
+    near = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+    return both.where(near & (SKETCH * common >= AGREE * F.size(least))).select("a", "b")
+
+
 def linked_components(lines: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """(id, component) of the lines that are linked with others."""
-    posts = distinct.select("id", "n", F.explode(bands(F.col("sig"))).alias("band"))
-    lists = posts.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub"), F.min("n").alias("low"), F.max("n").alias("high"))
-    # A bucket in which no two sets have sizes near enough would still be compared with its hub; the size test is on pairs.
+    posts = distinct.select("id", F.explode(bands(F.col("sig"))).alias("band"))
+    lists = posts.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub"))
     rows = written(posts.join(lists.where("size > 1").select("band", "hub"), "band"))
-    ids = written(rows.select("id").distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = lines.select(line_id(F.col("line")).alias("id"), "line").join(ids, "id").dropDuplicates(["id"])
-    sets = written(texts.select("id", shingles(F.col("line")).alias("shingles")))
-    sizes = rows.select("id", "n").distinct()
+    places = written(rows.select("id").distinct().join(distinct.select("id", "first"), "id"))
+    if places.count() <= BROADCAST_IDS:
+        places = F.broadcast(places)
+    at_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
+    texts = lines.withColumn("id", line_id(F.col("line"))).join(places, "id").where(at_first)
+    sets = written(texts.select("id", shingles(F.col("line")).alias("shingles")).dropDuplicates(["id"]))
+    sketches = sets.select("id", F.size("shingles").alias("n"), F.slice("shingles", 1, SKETCH).alias("k"))
 
-    def near(pairs: DataFrame) -> DataFrame:
-        sized = pairs.distinct().join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-        return sized.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
+    def linked(pairs: DataFrame) -> DataFrame:
+        return similar(agreeing(pairs, sketches, similarity), sets, similarity)
 
     def placed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         comps = components(edges).toDF("id", "comp")
@@ -94,15 +108,15 @@ def linked_components(lines: DataFrame, distinct: DataFrame, similarity: float)
         open_ = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), top).where("low <> high")
         return now, open_.select("band", F.col("top.id").alias("hub"), F.col("top.comp").alias("hub_comp"))
 
-    edges = similar(near(rows.where("id <> hub").select(*_pair("id", "hub"))), sets, similarity)
+    edges = linked(rows.where("id <> hub").select(*_pair("id", "hub")))
     now, open_ = placed(edges)
     again = now.join(open_, "band").where("comp <> hub_comp").select(*_pair("id", "hub"))
-    edges = written(edges.unionByName(similar(near(again), sets, similarity)))
+    edges = written(edges.unionByName(linked(again)))
     now, open_ = placed(edges)
     left = written(now.join(open_.select("band"), "band"))
     other = left.select("band", F.col("id").alias("id_b"), F.col("comp").alias("comp_b"))
     rest = left.join(other, "band").where("id < id_b and comp <> comp_b").select(F.col("id").alias("a"), F.col("id_b").alias("b"))
-    return components(edges.unionByName(similar(near(rest), sets, similarity)))
+    return components(edges.unionByName(linked(rest)))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -113,9 +127,9 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     lines = lines_of(docs)
     sets = shingles(F.col("line"))
     seen = written(lines.select("doc_id", "line_no", line_id(F.col("line")).alias("id"), sets.alias("s")).select(
-        "doc_id", "line_no", "id", F.slice("s", 1, KEEP).alias("sig"), F.size("s").alias("n")))
+        "doc_id", "line_no", "id", F.slice("s", 1, KEEP).alias("sig")))
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    distinct = written(seen.groupBy("id").agg(first, F.max("sig").alias("sig"), F.max("n").alias("n")))
+    distinct = written(seen.groupBy("id").agg(first, F.max("sig").alias("sig")))
     comps = written(linked_components(lines, distinct, similarity))
     heads = distinct.join(comps, "id").groupBy("component").agg(F.min("first").alias("head"))
     linked = comps.join(heads, "component").select("id", "head")
