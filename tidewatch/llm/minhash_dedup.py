@@ -118,12 +118,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
+def _key(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def _sign(width: int) -> Callable:
     def of(text: pd.Series) -> pd.DataFrame:
         rows = []
         for t in text:
             s = shingle_set(t, width)
-            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).tobytes()) if len(s) else (0, b"", b""))
+            rows.append((len(s), _key(s.tobytes()), signature(s).tobytes()) if len(s) else (0, b"", b""))
         return pd.DataFrame(rows, columns=["n", "key", "sig"])
 
     return of
@@ -156,7 +160,8 @@ def _agreements(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _confirm(percent: int) -> Callable:
     def of(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        have = {i: np.frombuffer(s, np.uint64) for i, s in zip(sets["id"].tolist(), sets["shingles"].tolist(), strict=True)}
+        # Rows that repeat an id may hold other texts; the class's own one is told by its key.
+        have = {i: np.frombuffer(s, np.uint64) for i, k, s in zip(sets["id"].tolist(), sets["key"].tolist(), sets["shingles"].tolist(), strict=True) if _key(s) == k}
         keep = np.zeros(len(pairs), bool)
         for k, (a, b) in enumerate(zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)):
             x, y = have[a], have[b]
@@ -196,23 +201,13 @@ class _Join:
     """The compared classes of one call."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
-        self.classes, self.percent, self.matches = classes, percent, MATCHES[percent]
+        self.docs, self.classes, self.width, self.percent, self.matches = docs, classes, width, percent, MATCHES[percent]
         self.posts = self._post()
         self.lists = written(self.posts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1"))
         self.rows = written(self.posts.join(self.lists, "token"))
         biggest = self.rows.groupBy("id").agg(F.max(F.struct("n", "hub")).alias("top"))
         home = F.xxhash64("top.hub", F.pmod(F.xxhash64(F.lit(9), "id"), F.ceil(F.col("top.n") / 256)))
         self.homes = written(biggest.select("id", home.alias("home")))
-        ids = self.homes.select("id")
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        # The class's name is a doc_id; if rows repeat it with other texts, the class's own text is told by its key.
-        texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
-        sets = F.pandas_udf(lambda t: pd.Series([shingle_set(x, width).tobytes() for x in t]), "binary")(F.col("text"))
-        self.sets = written(texts.select("id", sets.alias("shingles")))
-        if self.sets.count() > self.homes.count():
-            own = F.pandas_udf(lambda s: pd.Series([hashlib.blake2b(x, digest_size=16).digest() for x in s]), "binary")
-            self.sets = written(self.sets.withColumn("key", own("shingles")).join(classes.select("id", "key"), ["id", "key"]).select("id", "shingles").dropDuplicates(["id"]))
 
     def _post(self) -> DataFrame:
         n = COORDINATES - self.matches + 1
@@ -231,13 +226,22 @@ class _Join:
         return both.where(F.pandas_udf(_agreements, "long")("sig_a", "sig_b") >= self.matches).select("a", "b")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar enough."""
+        """The pairs whose whole sets are similar enough.
+
+        Sets are made again from the texts of the documents in question, so
+        no set of any other document is kept or moved.
+        """
         homes = self.homes
         keyed = pairs.join(homes.toDF("a", "home_a"), "a").join(homes.toDF("b", "home_b"), "b")
         keyed = written(keyed.select("a", "b", F.xxhash64(F.least("home_a", "home_b"), F.greatest("home_a", "home_b")).alias("home")))
         buckets = max(12, keyed.count() // BUCKET_PAIRS)
         keyed = keyed.select("a", "b", F.pmod("home", F.lit(buckets)).alias("bucket"))
-        needed = keyed.select(F.col("bucket").alias("at"), F.explode(F.array("a", "b")).alias("id")).distinct().join(self.sets, "id")
+        needed = written(keyed.select(F.col("bucket").alias("at"), F.explode(F.array("a", "b")).alias("id")).distinct().join(self.classes.select("id", "key"), "id"))
+        if needed.count() <= BROADCAST_IDS:
+            needed = F.broadcast(needed)
+        width = self.width
+        sets = F.pandas_udf(lambda t: pd.Series([shingle_set(x, width).tobytes() for x in t]), "binary")
+        needed = self.docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id").select("at", "id", "key", sets("text").alias("shingles"))
         return written(keyed.groupBy("bucket").cogroup(needed.groupBy("at")).applyInPandas(_confirm(self.percent), "a long, b long"))
 
     def placed(self, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
