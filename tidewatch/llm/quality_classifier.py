@@ -171,7 +171,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     bound = 1_000_000
     part = min(bound, int(bound * FIT_ROWS / max(1, known.count())))
-    d = columns(docs, doc_id="doc_id", text="text").where(~held_out(F.col("doc_id"))).join(known.select("doc_id", "quality"), "doc_id")
+    d = columns(docs, doc_id="doc_id", text="text").where(~held_out(F.col("doc_id")))
+    # Always by shuffle: labels grow with the documents, and the plan must not turn with their number.
+    d = d.join(known.select("doc_id", "quality").hint("merge"), "doc_id")
     sampled = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(bound)) < part
     gathered = written(d.select("text", F.col("quality").cast("int").alias("quality"), sampled.alias("sampled")).mapInPandas(_gather, "quality int, features binary, bucket int, low long, high long"))
     counts = gathered.where("bucket >= 0").groupBy("bucket").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).toPandas()
