@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ END_ID = 1
 #: Characters of text in a bucket: at least, and at most where there would be more than BUCKETS.
 BUCKET_CHARS, BUCKET_CHARS_MOST, BUCKETS = 2_000_000, 64_000_000, 100_000
 CACHE_WORDS = 1_500_000
-PART_WORDS = 500
+PART_WORDS, PART_TEXTS = 500, 32
 PIECES = "doc_id string, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -55,20 +56,18 @@ class WordEncoder:
         self.separator_id = self.tokenizer.token_to_id(self.SEPARATOR)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        self.ends_word = np.zeros(1 << 16, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        plain = [w for w in words if b"<|" not in w]
-        for w in words if len(plain) < len(words) else ():
-            if b"<|" in w:  # may hold the separator itself
-                self.known[w] = self._ids(w.decode()).tobytes()
-        for k in range(0, len(plain), PART_WORDS):
-            part = plain[k : k + PART_WORDS]
+    def _separated(self, words: list[bytes]) -> None:
+        """Encodes words with the separator, which is a token of its own, between them."""
+        for k in range(0, len(words), PART_WORDS):
+            part = words[k : k + PART_WORDS]
             ids = self._ids(self.SEPARATOR.join([w.decode() for w in part]))
             ends = [*np.flatnonzero(ids == self.separator_id).tolist(), len(ids)]
             start = 0
@@ -76,17 +75,61 @@ class WordEncoder:
                 self.known[w] = ids[start:end].tobytes()
                 start = end + 1
 
+    def _spaced(self, words: list[bytes], texts: list[str]) -> None:
+        """Encodes words of lower-case letters only, each a single pre-token, whose last id tells that a word ends."""
+        for k in range(0, len(words), PART_WORDS):
+            part = words[k : k + PART_WORDS]
+            ids = self._ids(" ".join(texts[k : k + PART_WORDS]))
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                self._separated(part)
+                continue
+            start = 0
+            for w, end in zip(part, ends, strict=True):
+                self.known[w] = ids[start:end].tobytes()
+                start = end
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.known) + 2 * len(words) > CACHE_WORDS:
+            self.known.clear()
+        marked = [w for w in words if b"<|" in w]  # may hold the separator itself
+        for w in marked:
+            self.known[w] = self._ids(w.decode()).tobytes()
+        # A full stop or comma after a letter is a pre-token of its own.
+        ended = [w for w in words if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122 and b"<|" not in w]
+        need = ({w[:-1] for w in ended} | {b".", b","} | set(words)).difference(ended).difference(self.known)
+        plain, texts, other = [], [], []
+        for w in need:
+            t = w.decode()
+            if t.isalpha() and t.islower() and is_normalized("NFC", t):
+                plain.append(w)
+                texts.append(t)
+            else:
+                other.append(w)
+        self._spaced(plain, texts)
+        self._separated(other)
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 16-bit numbers."""
+        out = []
+        for k in range(0, len(texts), PART_TEXTS):
+            raws = [t.encode() for t in texts[k : k + PART_TEXTS]]
+            # Lower-casing A-Z is the tokenizer's own step; marked texts keep their case, which its special tokens heed.
+            split = [(r if b"<|" in r else r.lower()).split() for r in raws]
+            every = set().union(*split)
+            missing = every.difference(self.known)
+            if missing:
+                before = len(self.known)
+                self._learn(list(missing))
+                if len(self.known) < before:  # the cache was emptied
+                    self._learn([w for w in every if w not in self.known])
+            out += [b"".join(map(self.known.__getitem__, words)) for words in split]
+        return out
+
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian 16-bit numbers."""
-        raw = text.encode()
-        # Lower-casing A-Z is the tokenizer's own step; marked words keep their case, which its special tokens heed.
-        words = (raw if b"<|" in raw else raw.lower()).split()
-        missing = set(words).difference(self.known)
-        if missing:
-            self._learn(list(missing))
-            if not all(w in self.known for w in set(words)):  # the cache was emptied
-                self._learn([w for w in set(words) if w not in self.known])
-        return b"".join(map(self.known.__getitem__, words))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -102,9 +145,9 @@ def _tokenize(path: str | None):
     end = np.array([END_ID], "<u2").tobytes()
 
     def of(batches):
-        encode = _encoder(path).encode
+        encode = _encoder(path).encode_all
         for pdf in batches:
-            ids = [encode(x or "") + end for x in pdf["text"]]
+            ids = [x + end for x in encode([x or "" for x in pdf["text"]])]
             yield pdf.drop(columns="text").assign(ids=ids, n=[len(x) // 2 for x in ids])
 
     return of
