@@ -143,12 +143,27 @@ def _all_tokens(sigs: pd.Series) -> pd.Series:
     return pd.Series(list(_tokens(sigs)))
 
 
+def _order(sigs: pd.Series, heavy: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of every signature, and the coordinates of its prefix of n."""
+    t = _tokens(sigs)
+    last = heavy[np.minimum(np.searchsorted(heavy, t), len(heavy) - 1)] == t if len(heavy) else np.zeros(t.shape, bool)
+    return t, np.argsort(last, axis=1, kind="stable")[:, :n]
+
+
 def _prefix(heavy: np.ndarray, n: int) -> Callable:
+    def of(sigs: pd.Series) -> pd.DataFrame:
+        t, order = _order(sigs, heavy, n)
+        return pd.DataFrame({"token": list(np.take_along_axis(t, order, 1)), "coord": list(order.astype(np.int32))})
+
+    return of
+
+
+def _mask(heavy: np.ndarray, n: int) -> Callable:
+    """The prefix's coordinates as bits."""
+
     def of(sigs: pd.Series) -> pd.Series:
-        t = _tokens(sigs)
-        last = heavy[np.minimum(np.searchsorted(heavy, t), len(heavy) - 1)] == t if len(heavy) else np.zeros(t.shape, bool)
-        order = np.argsort(last, axis=1, kind="stable")[:, :n]
-        return pd.Series(list(np.take_along_axis(t, order, 1)))
+        _, order = _order(sigs, heavy, n)
+        return pd.Series(np.bitwise_or.reduce(np.left_shift(np.uint64(1), order.astype(np.uint64)), axis=1).view(np.int64))
 
     return of
 
@@ -176,19 +191,31 @@ def _confirm(percent: int) -> Callable:
     return of
 
 
-def _across(matches: int) -> Callable:
-    """Pairs of a block of a long list, or of two, that lie in different components and agree often enough."""
+def _across(matches: int, percent: int) -> Callable:
+    """Pairs of a block of a long list, or of two, in different components, that agree often enough and whose sets can be similar enough.
+
+    A pair counts in the list of the first coordinate that both prefixes hold
+    and share, and in no other. own: shingles that no other document of the
+    open lists has; what two sets share has none of them.
+    """
+    bits = np.left_shift(np.uint64(1), np.arange(COORDINATES, dtype=np.uint64))
 
     def of(key, pdf: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
         s = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), COORDINATES)
-        ids, comp, block = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy()
+        ids, comp, block, size, own = (pdf[c].to_numpy() for c in ("id", "comp", "block", "n", "own"))
+        mask, coord = pdf["mask"].to_numpy().view(np.uint64), int(pdf["coord"].iloc[0])
+        earlier = np.uint64((1 << coord) - 1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = []
         for at in left:
-            hit = right[((s[right] == s[at]).sum(1) >= matches) & (comp[right] != comp[at])]
+            common = np.minimum(size[right] - own[right], size[at] - own[at])
+            hit = right[(100 * common >= percent * (size[right] + size[at] - common)) & (comp[right] != comp[at])]
             if i == j:
                 hit = hit[ids[hit] > ids[at]]
+            same = s[hit] == s[at]
+            shared = np.where(same, bits, np.uint64(0)).sum(1, dtype=np.uint64) & mask[hit] & mask[at]
+            hit = hit[(same.sum(1) >= matches) & ((shared & earlier) == 0)]
             if len(hit):
                 out.append(np.stack([np.minimum(ids[hit], ids[at]), np.maximum(ids[hit], ids[at])], 1))
         found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
@@ -217,8 +244,10 @@ class _Join:
         while counts.where(F.col("n") > bound).count() > HEAVY_MOST:
             bound *= 4
         heavy = np.sort(np.array([r["token"] for r in counts.where(F.col("n") > bound).select("token").collect()], np.int64))
-        token = F.explode(F.pandas_udf(_prefix(heavy, n), "array<long>")("sig"))
-        return written(self.classes.select("id", token.alias("token")))
+        self.mask = F.pandas_udf(_mask(heavy, n), "long")
+        first = F.pandas_udf(_prefix(heavy, n), "token array<long>, coord array<int>")("sig")
+        posts = self.classes.select("id", first.alias("p")).select("id", F.explode(F.arrays_zip("p.token", "p.coord")).alias("p"))
+        return written(posts.select("id", "p.token", "p.coord"))
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
         sigs = self.classes.select("id", "sig")
@@ -245,13 +274,29 @@ class _Join:
         return written(keyed.groupBy("bucket").cogroup(needed.groupBy("at")).applyInPandas(_confirm(self.percent), "a long, b long"))
 
     def placed(self, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(token, id, n, comp) of lists that reach several components, and those lists with another hub."""
-        rows = self.rows.join(comps.toDF("id", "comp"), "id", "left").select("token", "id", "n", F.coalesce("comp", "id").alias("comp"))
+        """(token, coord, id, n, comp) of all lists, and those that reach several components with another hub."""
+        rows = self.rows.join(comps.toDF("id", "comp"), "id", "left").select("token", "coord", "id", "n", F.coalesce("comp", "id").alias("comp"))
         rows = written(rows)
         top = F.max(F.struct(F.xxhash64(F.lit(1), "id").alias("h"), "id", "comp"))
         lists = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), top.alias("top")).where("low <> high")
         return rows, written(lists.select("token", F.col("top.id").alias("hub"), F.col("top.comp").alias("hub_comp")))
 
+    def own_shingles(self, ids: DataFrame) -> DataFrame:
+        """(id, own): how many of a document's shingles no other of these documents has."""
+        ids = written(ids.join(self.classes.select("id", "key"), "id"))
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        width = self.width
+
+        def sets(texts: pd.Series, keys: pd.Series) -> pd.Series:
+            found = (shingle_set(t, width) for t in texts)
+            return pd.Series([s.view(np.int64) if _key(s.tobytes()) == k else [] for s, k in zip(found, keys, strict=True)])
+
+        rows = self.docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
+        rows = rows.select("id", F.explode(F.pandas_udf(sets, "array<long>")("text", "key")).alias("shingle"))
+        alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+        return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
     def rest(self, rows: DataFrame, lists: DataFrame) -> DataFrame:
         """All agreeing pairs across components."""
         open_ = rows.join(lists.select("token"), "token")
@@ -259,10 +304,12 @@ class _Join:
         other = short.select("token", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
         near = short.select("token", F.col("id").alias("a"), "comp").join(other, "token").where("a < b and comp <> comp_b").select("a", "b").distinct()
         blocks = F.ceil(F.col("n") / BLOCK)
-        long_ = open_.where(F.col("n") > SHORT_LIST).select("token", "id", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(2), "id"), blocks).alias("block"))
+        long_ = written(open_.where(F.col("n") > SHORT_LIST)).select("token", "coord", "id", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(2), "id"), blocks).alias("block"))
         dealt = long_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select(
-            "token", "id", "comp", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-        far = dealt.join(self.classes.select("id", "sig"), "id").groupBy("token", "i", "j").applyInPandas(_across(self.matches), "a long, b long")
+            "token", "coord", "id", "comp", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+        known = self.classes.join(long_.select("id").distinct(), "id").join(self.own_shingles(long_.select("id").distinct()), "id", "left")
+        known = written(known.select("id", "sig", "n", F.coalesce("own", F.lit(0)).alias("own"), self.mask("sig").alias("mask")))
+        far = dealt.join(known, "id").groupBy("token", "i", "j").applyInPandas(_across(self.matches, self.percent), "a long, b long")
         return self.agreeing(near).unionByName(far).distinct()
 
     def components(self) -> DataFrame:
@@ -282,7 +329,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     """
     d = columns(docs, doc_id="doc_id", text="text")
     signed = written(d.select("doc_id", F.pandas_udf(_sign(width), "n long, key binary, sig binary")("text").alias("s")).select("doc_id", "s.*"))
-    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("sig").alias("sig")))
+    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("sig").alias("sig"), F.max("n").alias("n")))
     comps = _Join(d, classes, width, percent).components()
     named = classes.join(comps, "id", "left").groupBy("key").agg(F.min(F.coalesce("component", "id")).alias("component"))
     component: Column = F.coalesce("component", "doc_id")
