@@ -72,17 +72,21 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def agreeing(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sizes and longer sketches don't rule the similarity out.
+def agreement(a: str, b: str, similarity: float) -> Column:
+    """Whether sizes n and longer sketches k of two lines leave room for the similarity.
 
-    Of the SKETCH smallest hashes of two lines' union, a share as large as
-    their similarity is expected in both; AGREE is far below what 0.8 gives.
+    Of the SKETCH smallest hashes of the lines' union, a share as large as their
+    similarity is expected in both sketches; what is asked for is far less.
     """
+    least, most = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
+    common = sum((F.coalesce(F.array_contains(f"k_{b}", F.get(f"k_{a}", F.lit(i))), F.lit(False)).cast("int") for i in range(SKETCH)), F.lit(0))
+    return (least >= similarity * most) & (common >= F.least(F.lit(AGREE), F.ceil(least * AGREE / SKETCH)))
+
+
+def agreeing(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that `agreement` doesn't rule out."""
     both = pairs.distinct().join(sketches.toDF("a", "n_a", "k_a"), "a").join(sketches.toDF("b", "n_b", "k_b"), "b")
-    least = F.slice(F.sort_array(F.array_union("k_a", "k_b")), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect("k_a", "k_b"), least))
-    near = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    return both.where(near & (SKETCH * common >= AGREE * F.size(least))).select("a", "b")
+    return both.where(agreement("a", "b", similarity)).select("a", "b")
 
 
 def linked_components(lines: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
@@ -113,10 +117,12 @@ def linked_components(lines: DataFrame, distinct: DataFrame, similarity: float)
     again = now.join(open_, "band").where("comp <> hub_comp").select(*_pair("id", "hub"))
     edges = written(edges.unionByName(linked(again)))
     now, open_ = placed(edges)
-    left = written(now.join(open_.select("band"), "band"))
-    other = left.select("band", F.col("id").alias("id_b"), F.col("comp").alias("comp_b"))
-    rest = left.join(other, "band").where("id < id_b and comp <> comp_b").select(F.col("id").alias("a"), F.col("id_b").alias("b"))
-    return components(edges.unionByName(linked(rest)))
+    # The sketches go along, so the join itself keeps only pairs that can be similar.
+    left = written(now.join(open_.select("band"), "band").join(sketches, "id"))
+    mine, other = (left.select("band", F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}"), F.col("k").alias(f"k_{x}")) for x in "ab")
+    met = (mine["band"] == other["band"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & agreement("a", "b", similarity)
+    rest = mine.join(other, met).select("a", "b").distinct()
+    return components(edges.unionByName(similar(rest, sets, similarity)))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
