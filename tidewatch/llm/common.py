@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 NOT_WORD = r"[\x20\x09-\x0D]"
 OWN: dict[str, str] = {}
+#: Spark's setting to remove the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +32,22 @@ def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read again.
 
     Cuts the lineage: a lost executor costs its running tasks, not the stages
-    before, and whatever reads the result twice computes it once.
+    before, and whatever reads the result twice computes it once. The shuffle
+    files of the write go with its end, since nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    try:
+        before = spark.conf.get(CLEANUP)
+    except PySparkException:  # a Spark without this setting
+        before = None
+    try:
+        if before is not None:
+            spark.conf.set(CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
