@@ -210,8 +210,8 @@ def url_domain_counts(spark, sf_dir):
     return u.groupBy("source_domain").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("canonical_url").alias("articles"))
 
 
-#: Titles of documents become slugs: the first twelve letter runs of a text.
-_SLUGS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:12] AS w, text FROM documents),
+#: Documents' texts become slugs: all their runs of letters and digits.
+_SLUGS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w, text FROM documents),
 s AS (SELECT doc_id, list_filter(w, lambda x: NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ('article', 'index', 'news', 'story', 'update', 'latest')) AS w FROM w),
 g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN sha256('flood|2024010106|' || array_to_string(w, '-')) ELSE sha256('https://d.test/' || doc_id) END AS group_id, CASE WHEN len(w) >= 5 THEN 'url_slug_6h' ELSE 'canonical_url' END AS method FROM s)"""
 
@@ -219,7 +219,7 @@ g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN sha256('flood|2024010106|' || ar
 @query(f"WITH {_SLUGS} SELECT doc_id, group_id, method, count(*) OVER (PARTITION BY group_id) AS group_size FROM g")
 def story_groups(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 1, 12)
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     url = F.concat(F.lit("https://d.test/"), F.array_join(words, "-"))
     rows = d.select("doc_id", urls.url_identity(url)["slug"].alias("slug"))
     own = urls.article_id(F.concat(F.lit("https://d.test/"), "doc_id"), F.lit(None))
