@@ -35,7 +35,7 @@ from tidewatch.llm.common import columns, components, written
 
 WIDTH = 10
 KEEP = 5
-SKETCH, AGREE = 12, 5
+SKETCH, AGREE, MARK_WORDS = 12, 5, 4
 BROADCAST_IDS = 1_000_000
 
 
@@ -80,12 +80,21 @@ def agreement(a: str, b: str, similarity: float) -> Column:
     """
     least, most = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
     common = sum((F.coalesce(F.array_contains(f"k_{b}", F.get(f"k_{a}", F.lit(i))), F.lit(False)).cast("int") for i in range(SKETCH)), F.lit(0))
-    return (least >= similarity * most) & (common >= F.least(F.lit(AGREE), F.ceil(least * AGREE / SKETCH)))
+    asked = F.least(F.lit(AGREE), F.ceil(least * AGREE / SKETCH))
+    # Bits first, which are cheap: hashes in common share their bit, and no more than two of few fall on another's.
+    bits = sum((F.bit_count(F.get(f"m_{a}", F.lit(i)).bitwiseAND(F.get(f"m_{b}", F.lit(i)))) for i in range(MARK_WORDS)), F.lit(0))
+    return (least >= similarity * most) & (bits >= asked - 2) & (common >= asked)
+
+
+def marks(sketch: str) -> Column:
+    """A bit map of a sketch: each hash sets one of 64 bits of one of MARK_WORDS words."""
+    one = "aggregate({0}, 0L, (s, x) -> s | if(pmod(x, {1}) = {2}, shiftleft(1L, cast(shiftright(x, 2) & 63 as int)), 0L))"
+    return F.array(*(F.expr(one.format(sketch, MARK_WORDS, i)) for i in range(MARK_WORDS)))
 
 
 def agreeing(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that `agreement` doesn't rule out."""
-    both = pairs.distinct().join(sketches.toDF("a", "n_a", "k_a"), "a").join(sketches.toDF("b", "n_b", "k_b"), "b")
+    both = pairs.distinct().join(sketches.toDF("a", "n_a", "k_a", "m_a"), "a").join(sketches.toDF("b", "n_b", "k_b", "m_b"), "b")
     return both.where(agreement("a", "b", similarity)).select("a", "b")
 
 
@@ -100,7 +109,7 @@ def linked_components(lines: DataFrame, distinct: DataFrame, similarity: float)
     at_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
     texts = lines.withColumn("id", line_id(F.col("line"))).join(places, "id").where(at_first)
     sets = written(texts.select("id", shingles(F.col("line")).alias("shingles")).dropDuplicates(["id"]))
-    sketches = sets.select("id", F.size("shingles").alias("n"), F.slice("shingles", 1, SKETCH).alias("k"))
+    sketches = sets.select("id", F.size("shingles").alias("n"), F.slice("shingles", 1, SKETCH).alias("k")).withColumn("m", marks("k"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         return similar(agreeing(pairs, sketches, similarity), sets, similarity)
@@ -119,7 +128,7 @@ def linked_components(lines: DataFrame, distinct: DataFrame, similarity: float)
     now, open_ = placed(edges)
     # The sketches go along, so the join itself keeps only pairs that can be similar.
     left = written(now.join(open_.select("band"), "band").join(sketches, "id"))
-    mine, other = (left.select("band", F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}"), F.col("k").alias(f"k_{x}")) for x in "ab")
+    mine, other = (left.select("band", F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}"), F.col("k").alias(f"k_{x}"), F.col("m").alias(f"m_{x}")) for x in "ab")
     met = (mine["band"] == other["band"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & agreement("a", "b", similarity)
     rest = mine.join(other, met).select("a", "b").distinct()
     return components(edges.unionByName(similar(rest, sets, similarity)))
