@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,6 @@ def test_oracles(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.execute(catalogue.ORACLES[name]).df()
     got = catalogue.QUERIES[name](spark, SMALL).toPandas()[want.columns]
-    value = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float, np.number)) else str(v)
+    value = lambda v: None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float, np.number)) else str(v)
     rows = lambda df: sorted(str(tuple(map(value, r))) for r in df.itertuples(index=False))
     assert rows(got) == rows(want)
