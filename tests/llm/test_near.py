@@ -137,6 +137,28 @@ def test_lines(spark):
             assert left[i] == ("\n".join(kept) if changed else t)
 
 
+def test_lines_of_shifted_text(spark):
+    """Near copies that start elsewhere are found, spaced or not; the truth is made in plain Python."""
+    rng = random.Random(6)
+    kinds = ["abcdefghijklmnopqrstuvwxyz0123456789+/", "漢字仮名交文日本語中国東京大阪", "😀😁😂🤣😃😄é漢", "abcdefgh  "]
+    lines = []
+    for _ in range(12):
+        for letters in kinds:
+            base = "".join(rng.choice(letters) for _ in range(rng.choice([60, 300, 900])))
+            inside = rng.randrange(10, 50)
+            lines += [base, rng.choice(letters) + base, letters[:3] + base, base[:inside] + letters[1] + base[inside:], base[1:], base[len(base) // 2 :]]
+    lines += ["short", "short", "shorts", "0123456789", "0123456789a", "x" * 9, "x" * 10, "x" * 30000]
+    whole = {k: {x[i : i + 10] for i in range(max(1, len(x) - 9))} for k, x in enumerate(lines)}
+    made = spark.createDataFrame(list(enumerate(lines)), "k int, line string").select("k", line_dedup.shingles(line_dedup.F.col("line")).alias("s"))
+    assert {r.k: len(r.s) for r in made.collect()} == {k: len(s) for k, s in whole.items()}
+    links = [(a, b) for a in whole for b in whole if a < b and len(whole[a] & whole[b]) >= 0.8 * len(whole[a] | whole[b])]
+    want = united(whole, links)
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.dedup_lines(docs(spark, list(enumerate(lines)))).collect()}
+    assert all(want[got[k]] == want[k] for k in whole)
+    assert np.mean([got[k] == want[k] for k in whole]) > 0.98
+    assert len(links) > 400
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, note string")
 
