@@ -25,7 +25,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80 % of its five-word shingles stays."""
-    return minhash_dedup.drop_near_duplicates(docs, width=5, percent=80)
+    return minhash_dedup.drop_near_duplicates(docs, width=5, percent=80, one_per_id=False)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

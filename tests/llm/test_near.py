@@ -90,6 +90,20 @@ def test_minhash_empty_and_dropping(spark):
     assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == [1, 3, 4]
 
 
+def test_minhash_repeated_and_null_ids(spark):
+    """Rows are judged by their own texts, whatever their ids."""
+    a, b, c = ("".join(f"{x}{k} " for k in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, "x y z"), (3, "q r s t"), (None, c), (None, c + "end"), (None, c.upper()), (None, "x y z"), (None, "alone"), (5, c + " far"), (4, None), (None, ""), (6, "n m"), (6, "n m")]
+    some = [r for r in rows if r[0] != 5]
+    for given_, cs in ((rows, [(5, c + " far")]), (some, [(None, c)])):
+        left = sorted(((r.doc_id, r.text) for r in minhash_dedup.drop_near_duplicates(docs(spark, given_), one_per_id=False).collect()), key=str)
+        want = [(1, a), (2, b), (3, "x y z"), (3, "q r s t"), (None, "alone"), (4, None), (None, ""), (6, "n m"), *cs]
+        assert [(i, t if i or not t or t[0] not in "cC" else c) for i, t in left] == sorted(want, key=str)
+    near = [(1, b + "end"), (2, a), (2, b)]
+    got = sorted(tuple(r) for r in minhash_dedup.near_duplicates(docs(spark, near)).select("doc_id", "component_id", "kept").collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 2, True)]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
 def test_components(spark, links):

@@ -2,7 +2,7 @@
 
 A document's set holds the distinct shingles of its words (A-Z lower-cased); a
 signature has COORDINATES MinHash values. Documents with equal sets form a
-class, and only classes are compared. A class is posted under the (coordinate,
+class, named by the number of one of its rows, and only classes are compared. A class is posted under the (coordinate,
 value) pairs of its signature. Two signatures that agree in at least MATCHES
 coordinates share one within the first COORDINATES - MATCHES + 1 of either, in
 any common order; the order puts frequent pairs last, so postings of passages
@@ -29,9 +29,11 @@ hang together by many pairs.
 Defined cases: a text without words has an empty set and is linked with
 nothing; a text with fewer words than a shingle has its whole sequence as its
 only shingle; a null id shares its class's component but is never a component's
-name, and stays only if no document with an id is like it; rows repeating an id
-are judged each by its own text; an empty table gives an empty result; columns
-besides doc_id and text are not read.
+name, and stays only if no document with an id is like it, and then once; rows
+repeating an id are judged each by its own text, so one row of a component
+stays, the first by id and set, and two components may have the same smallest
+id for a name; rows without words all stay; an empty table gives an empty
+result; columns besides doc_id and text are not read by near_duplicates.
 """
 
 from __future__ import annotations
@@ -175,8 +177,7 @@ def _agreements(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _confirm(percent: int) -> Callable:
     def of(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        # Rows that repeat an id may hold other texts; the class's own one is told by its key.
-        have = {i: np.frombuffer(s, np.uint64) for i, k, s in zip(sets["id"].tolist(), sets["key"].tolist(), sets["shingles"].tolist(), strict=True) if _key(s) == k}
+        have = {i: np.frombuffer(s, np.uint64) for i, s in zip(sets["id"].tolist(), sets["shingles"].tolist(), strict=True)}
         keep = np.zeros(len(pairs), bool)
         for k, (a, b) in enumerate(zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)):
             x, y = have[a], have[b]
@@ -225,7 +226,7 @@ def _across(matches: int, percent: int) -> Callable:
 
 
 class _Join:
-    """The compared classes of one call."""
+    """The compared classes of one call; docs has (id, text), with an id for each row."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
         self.docs, self.classes, self.width, self.percent, self.matches = docs, classes, width, percent, MATCHES[percent]
@@ -265,12 +266,12 @@ class _Join:
         keyed = written(keyed.select("a", "b", F.xxhash64(F.least("home_a", "home_b"), F.greatest("home_a", "home_b")).alias("home")))
         buckets = max(12, keyed.count() // BUCKET_PAIRS)
         keyed = keyed.select("a", "b", F.pmod("home", F.lit(buckets)).alias("bucket"))
-        needed = written(keyed.select(F.col("bucket").alias("at"), F.explode(F.array("a", "b")).alias("id")).distinct().join(self.classes.select("id", "key"), "id"))
+        needed = written(keyed.select(F.col("bucket").alias("at"), F.explode(F.array("a", "b")).alias("id")).distinct())
         if needed.count() <= BROADCAST_IDS:
             needed = F.broadcast(needed)
         width = self.width
         sets = F.pandas_udf(lambda t: pd.Series([shingle_set(x, width).tobytes() for x in t]), "binary")
-        needed = self.docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id").select("at", "id", "key", sets("text").alias("shingles"))
+        needed = self.docs.join(needed, "id").select("at", "id", sets("text").alias("shingles"))
         return written(keyed.groupBy("bucket").cogroup(needed.groupBy("at")).applyInPandas(_confirm(self.percent), "a long, b long"))
 
     def placed(self, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -283,17 +284,12 @@ class _Join:
 
     def own_shingles(self, ids: DataFrame) -> DataFrame:
         """(id, own): how many of a document's shingles no other of these documents has."""
-        ids = written(ids.join(self.classes.select("id", "key"), "id"))
+        ids = written(ids)
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
         width = self.width
-
-        def sets(texts: pd.Series, keys: pd.Series) -> pd.Series:
-            found = (shingle_set(t, width) for t in texts)
-            return pd.Series([s.view(np.int64) if _key(s.tobytes()) == k else [] for s, k in zip(found, keys, strict=True)])
-
-        rows = self.docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
-        rows = rows.select("id", F.explode(F.pandas_udf(sets, "array<long>")("text", "key")).alias("shingle"))
+        sets = F.pandas_udf(lambda t: pd.Series([shingle_set(x, width).view(np.int64) for x in t]), "array<long>")
+        rows = self.docs.join(ids, "id").select("id", F.explode(sets("text")).alias("shingle"))
         alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
         return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
@@ -322,29 +318,42 @@ class _Join:
         return components(edges.unionByName(self.confirmed(self.rest(rows, lists))))
 
 
+def _judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """`docs`, written with a number for each row, and (row, doc_id, n_shingles, key, component_id, kept) of all rows."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+    d = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    signed = written(d.select("row", "doc_id", F.pandas_udf(_sign(width), "n long, key binary, sig binary")("text").alias("s")).select("row", "doc_id", "s.*"))
+    # The first row of a class, as of a component: by id, those without one last, set and number.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "row")).alias("first")
+    members = signed.where("n > 0").groupBy("key").agg(F.min("row").alias("id"), F.max("sig").alias("sig"), F.max("n").alias("n"), first)
+    classes = written(members)
+    comps = written(_Join(d.select(F.col("row").alias("id"), "text"), classes.select("id", "sig", "n"), width, percent).components())
+    placed = classes.join(comps, "id", "left").select("key", "first", F.coalesce("component", "id").alias("component"))
+    heads = placed.groupBy("component").agg(F.min("first").alias("head"))
+    named = placed.join(heads, "component").select("key", "head")
+    found = signed.join(named, "key", "left").select(
+        "row", "doc_id", F.col("n").alias("n_shingles"), "key", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
+        F.coalesce(F.col("row") == F.col("head.row"), F.lit(True)).alias("kept"))
+    return rows, found
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document.
 
     width: words in a shingle; percent: least similarity of linked documents.
     """
-    d = columns(docs, doc_id="doc_id", text="text")
-    signed = written(d.select("doc_id", F.pandas_udf(_sign(width), "n long, key binary, sig binary")("text").alias("s")).select("doc_id", "s.*"))
-    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("sig").alias("sig"), F.max("n").alias("n")))
-    comps = _Join(d, classes, width, percent).components()
-    named = classes.join(comps, "id", "left").groupBy("key").agg(F.min(F.coalesce("component", "id")).alias("component"))
-    component: Column = F.coalesce("component", "doc_id")
-    return (
-        signed.join(named, "key", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    )
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` without the documents that aren't kept; of rows repeating an id one stays."""
-    found = written(near_duplicates(docs, width, percent))
-    kept = docs.join(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if not again:
-        return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    _, found = _judged(columns(docs, doc_id="doc_id", text="text"), width, percent)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, one_per_id: bool = True) -> DataFrame:
+    """`docs` without the rows that aren't kept.
+
+    one_per_id: of rows repeating an id only one stays, the first by its set; else all different texts under an id stay.
+    """
+    rows, found = _judged(docs, width, percent)
+    kept = found.where("kept")
+    if one_per_id:
+        again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("key", "row")).alias("first"))
+        kept = kept.where("doc_id is null").select("row").unionByName(again.select("first.row"))
+    return rows.join(kept.select("row"), "row", "left_semi").select("doc.*")
