@@ -168,6 +168,25 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_license_scan_at_line_ends(spark):
+    """Known sentences are found on lines of their own, over line ends and behind any padding."""
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License."
+    rows = [
+        (1, "some words from from\nLicensed under CC BY-NC 4.0.", "<4>"),
+        (2, "a title\n * Released under the MIT License\n * more words", "<2>"),
+        (3, "a title\n# " + apache + "\n# You may obtain a copy of the License at\n#\n", "<11>"),
+        (4, "Released" + " -" * 5000 + " under the MIT License", "<2>"),
+        (5, "words released under the MIT License", ""),
+        (6, "Released under the MIT License or not", ""),
+        (7, "Released under the MIT.\nLicense", ""),
+        (8, "Released under|the MIT\n\nLicense", ""),
+        (9, "Released under the MIT License\nLicensed under CC BY-NC 4.0\r\nend", "<2><4>"),
+        (10, "-" * 200000 + "\n" * 200000, ""),
+    ]
+    got = license_scan.scan_licenses(docs(spark, [(i, t, "en") for i, t, _ in rows])).collect()
+    assert sorted((r.doc_id, r.sentence_ids) for r in got) == [(i, x) for i, _, x in rows]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()

@@ -1,7 +1,9 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, which are normalised (lower case; runs of other
-than a-z and 0-9 become one space) and looked up among known license sentences.
+A text is normalised (lower case; runs of other than a-z and 0-9 become one
+mark: of a sentence's end, a line's end or a space). Known license sentences
+are found in it where they begin and end at the end of a sentence, a line or the
+text; they may go over line ends, but not over sentence ends.
 What remains is the sequence of their identifiers. Ordered rules, the more
 specific first, name a license for a run of identifiers and consume it, so a
 short notice inside a longer one isn't counted again. Identifiers that no rule
@@ -66,19 +68,23 @@ RULES = [
     ("CC-BY-4.0", [5]),
     ("CC-BY-SA-4.0", [6]),
 ]
-#: Normalising shortens: a longer raw sentence than this many times the longest known one isn't tried.
+#: For ORACLE only, which tries no longer raw sentence, and whole sentences only: it misses notices on lines of their own.
 LONGEST = 2 * max(map(len, SENTENCES))
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def normalised(text: Column) -> Column:
+    """The text's words, parted by | where a sentence ends (as at either end of the text), a newline where a line does, or a space."""
+    marked = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9.!? \t\r\n]", ","), SENTENCE_END, "|")
+    spaced = F.regexp_replace(F.concat(F.lit("|"), marked, F.lit("|")), r"[^a-z0-9|\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(spaced, r" ?\n[ \n]*", "\n"), r"[ \n]?\|[ \n|]*", "|")
 
 
 def identifiers(text: Column) -> Column:
     """The sequence of known sentences' identifiers, as an array of strings."""
     known = F.create_map(*(F.lit(x) for k, s in enumerate(SENTENCES, 1) for x in (s, str(k))))
-    short = F.filter(F.split(text, SENTENCE_END), lambda s: F.length(s).between(10, LONGEST))
-    return F.filter(F.transform(short, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
+    any_ = "|".join(s.replace(" ", r"[ \n]") for s in sorted(SENTENCES, key=len, reverse=True))
+    found = F.regexp_extract_all(normalised(text), F.lit(rf"(?<=[|\n])(?:{any_})(?=[|\n])"), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
 
 
 def _run(ids: list[int]) -> str:
