@@ -112,6 +112,10 @@ def test_components(spark, links):
     assert got == {i: want[i] for i in got} and {x for a, b in links if a != b for x in (a, b)} == set(got)
 
 
+def char_sets(line):
+    return {line[k : k + 10] for k in range(max(1, len(line) - 9))}
+
+
 def test_lines(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
@@ -130,7 +134,7 @@ def test_lines(spark):
     got = {(r.doc_id, r.line_no): r for r in line_dedup.dedup_lines(data).collect()}
     places = {(i, k): x for i, t in rows if t for k, x in enumerate(t.split("\n")) if x.split()}
     assert set(got) == set(places)
-    sets = {r.line: frozenset(r.s) for r in line_dedup.lines_of(data).select("line", line_dedup.shingles(line_dedup.F.col("line")).alias("s")).collect()}
+    sets = {x: char_sets(x) for x in places.values()}
     order = {p: n for n, p in enumerate(sorted(places, key=lambda p: (p[0] is not None, p)))}
     ids = {n: places[p] for p, n in order.items()}
     links = [(a, b) for a in ids for b in ids if a < b and len(sets[ids[a]] & sets[ids[b]]) >= 0.8 * len(sets[ids[a]] | sets[ids[b]])]
@@ -163,7 +167,7 @@ def test_lines_of_shifted_text(spark):
             lines += [base, rng.choice(letters) + base, letters[:3] + base, base[:inside] + letters[1] + base[inside:], base[1:], base[len(base) // 2 :]]
     lines += ["short", "short", "shorts", "0123456789", "0123456789a", "x" * 9, "x" * 10, "x" * 30000]
     whole = {k: {x[i : i + 10] for i in range(max(1, len(x) - 9))} for k, x in enumerate(lines)}
-    made = spark.createDataFrame(list(enumerate(lines)), "k int, line string").select("k", line_dedup.shingles(line_dedup.F.col("line")).alias("s"))
+    made = spark.createDataFrame(list(enumerate(lines)), "k int, line string").select("k", line_dedup.F.array_distinct(line_dedup.shingles(line_dedup.F.col("line"))).alias("s"))
     assert {r.k: len(r.s) for r in made.collect()} == {k: len(s) for k, s in whole.items()}
     links = [(a, b) for a in whole for b in whole if a < b and len(whole[a] & whole[b]) >= 0.8 * len(whole[a] | whole[b])]
     want = united(whole, links)
@@ -173,6 +177,43 @@ def test_lines_of_shifted_text(spark):
     assert len(links) > 400
 
 
+def test_lines_recall(spark):
+    """Pairs of similarity 0.8 to 0.9, each alone, against shingles made in plain Python."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    lines, wanted, unlike = [], [], []
+    while len(wanted) < 300:
+        line = [word() for _ in range(rng.randint(8, 90))]
+        other = list(line)
+        for _ in range(rng.randint(1, 4)):
+            other[rng.randrange(len(other))] = word()
+        a, b = " ".join(line), " ".join(other)
+        j = len(char_sets(a) & char_sets(b)) / len(char_sets(a) | char_sets(b))
+        if 0.7 <= j <= 0.9:
+            (wanted if j >= 0.8 else unlike).append((len(lines), len(lines) + 1))
+            lines += [a, b]
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.dedup_lines(docs(spark, list(enumerate(lines)))).collect()}
+    assert np.mean([got[a] == got[b] for a, b in wanted]) >= 0.95
+    assert not any(got[a] == got[b] for a, b in unlike) and len(unlike) > 50
+
+
+def test_lines_in_one_list(spark):
+    """Many lines that share bands but hang together by few links."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    base, lines = [word() for _ in range(40)], []
+    for _ in range(150):
+        line = list(base)
+        for k in rng.sample(range(40), rng.randint(1, 4)):
+            line[k] = word()
+        lines.append(" ".join(line))
+    sets = [char_sets(x) for x in lines]
+    links = [(a, b) for a in range(150) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = united(range(150), links)
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.dedup_lines(docs(spark, list(enumerate(lines)))).collect()}
+    assert 10 < len(set(want.values())) < 145 and np.mean([got[k] == want[k] for k in want]) > 0.97
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, note string")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset and everything runs in one process, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or OWN.setdefault("dir", "")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
     return f"{found.rstrip('/')}/tidewatch-{spark.sparkContext.applicationId}"
 
@@ -33,7 +36,8 @@ def written(df: DataFrame) -> DataFrame:
 
     Cuts the lineage: a lost executor costs its running tasks, not the stages
     before, and whatever reads the result twice computes it once. The shuffle
-    files of the write go with its end, since nothing reads them again.
+    files of the write go with its end, since nothing reads them again: for as
+    long as it runs, CLEANUP is on in the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
@@ -48,7 +52,17 @@ def written(df: DataFrame) -> DataFrame:
     finally:
         if before is not None:
             spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that `written` made and that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -2,21 +2,29 @@
 
 A line's set holds its character shingles: the WIDTH characters from every
 character on, or the whole of a shorter line. Lines are similar if the Jaccard
-similarity of their sets is at least `similarity`. The signature of a line is a MinHash bottom
-sketch, its KEEP smallest shingle hashes; each pair of these is a band. Two
-lines of similarity 0.8 share two of the five smallest hashes of their union,
-and so a band, with a probability above 0.99; more similar lines nearly always.
-
-Equal lines are one from the start. In each band bucket every line is compared
-with a hub, in a second round with another hub if the bucket still reaches
-several components, and at last with all lines of other components in the
-bucket. Candidates are compared by a longer sketch, then verified on the whole
-sets. Linked lines are united by
-distributed union-find; of a component the first line, by doc_id and place,
-stays.
-
-Lines are told apart by a 64-bit hash: among 10^10 different lines about three
-pairs are taken for equal. Shingles stand in the sets as 32-bit hashes.
+similarity of their sets is at least `similarity`. The signature of a line has
+COORDINATES MinHash values: of the 64-bit hashes of its shingles, rotated by one
+of four distances, the one nearest by exclusive-or to a constant of the
+coordinate. Coordinates stand in groups of ROWS + 1, and every ROWS of a group
+make a band: a pair shares one if a group differs in one place at most, which at
+similarity 0.8 has a probability of 0.98, at 0.85 of 0.997.
+
+Equal lines are one from the start. In each band's list every line is compared
+with two hubs of the list; what they link becomes components. Lists that still
+reach several components are open, and in these all pairs across components
+are verified by a join that gives out none but similar ones. Before lines are
+compared in full, bitmaps of their shingles rule out pairs that differ in too
+many bits; that loses nothing, as two sets differ in as many elements as their
+bitmaps in bits, or in more. Verification is exact: the sets are made again from
+the lines. Linked lines are united by distributed union-find; of a component
+the first line, by doc_id and place, stays.
+
+The time of the comparison across components grows with the square of a list's
+lines that stay apart though they share a band, which takes lines of a
+similarity near the threshold; what moves and what is given out does not.
+
+Lines and shingles are told apart by 64-bit hashes: among 10^10 different lines
+about three pairs are taken for equal.
 
 Defined cases: lines are what newlines part; a line without a word is neither
 compared nor dropped; a null text has no lines; a null doc_id comes first in
@@ -27,30 +35,50 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import columns, components, written
+from tidewatch.llm.common import columns, components, dropped, written
 
 WIDTH = 10
-KEEP = 5
-SKETCH, AGREE, MARK_WORDS = 12, 5, 4
-BROADCAST_IDS = 1_000_000
+ROWS, GROUPS, TURNS = 4, 3, 4
+COORDINATES = (ROWS + 1) * GROUPS
+#: The coordinates of each band: those of a group but one.
+BANDS = [[c for c in range(g, g + ROWS + 1) if c != g + left] for g in range(0, COORDINATES, ROWS + 1) for left in range(ROWS + 1)]
+#: Shingles that one row of the exploded lines holds when they are signed: a power of two.
+CHUNK = 8
+#: Words of a bitmap.
+WORDS = 16
+MAP = ["room", *(f"x{w}" for w in range(WORDS))]
+#: Rows up to which a table of ids, or of lists, is broadcast: 16 MB at most.
+BROADCAST_IDS, BROADCAST_LISTS = 1_000_000, 200_000
+#: Line numbers in a place, and the document number of a null id, before all others.
+LINES, NO_ID = 1 << 31, -(1 << 63) - 1
+
+_RNG = random.Random(40)
+#: A constant for each coordinate; those of one rotation differ in their leading bits, so they lead to different shingles.
+NEAR = [((c // TURNS * 16 * TURNS // COORDINATES << 60 | _RNG.getrandbits(60)) ^ 1 << 63) - (1 << 63) for c in range(COORDINATES)]
 
 
 def line_id(line: Column) -> Column:
     return F.xxhash64(line)
 
 
+def _places(e: Column) -> Column:
+    """The last place of a shingle in a line of four bytes a character."""
+    return F.greatest(F.octet_length(e) - 4 * (WIDTH - 1), F.lit(1))
+
+
 def shingles(line: Column) -> Column:
-    """The sorted distinct hashes of a line's character shingles.
+    """The hashes of a line's character shingles, some more than once.
 
     They are cut out of four bytes a character, where a place is found at once,
     so the time is linear in the line; the outer transform encodes a line once.
     """
-    at = lambda e: F.sequence(F.lit(1), F.greatest(F.octet_length(e) - 4 * (WIDTH - 1), F.lit(1)), F.lit(4))
-    hashes = F.transform(F.array(F.encode(line, "UTF-32")), lambda e: F.transform(at(e), lambda i: F.hash(F.substring(e, i, F.lit(4 * WIDTH)))))
-    return F.sort_array(F.array_distinct(F.get(hashes, F.lit(0))))
+    hashes = F.transform(F.array(F.encode(line, "UTF-32")), lambda e: F.transform(F.sequence(F.lit(1), _places(e), F.lit(4)), lambda i: F.xxhash64(F.substring(e, i, F.lit(4 * WIDTH)))))
+    return F.get(hashes, F.lit(0))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -59,87 +87,130 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def bands(sig: Column) -> Column:
-    """A key for every two hashes of a signature; for a single hash, that one."""
-    pairs = F.flatten(F.transform(sig, lambda x, i: F.transform(F.slice(sig, i + 2, F.lit(KEEP)), lambda y: F.xxhash64(x, y))))
-    return F.when(F.size(sig) > 1, pairs).otherwise(sig)
+def place_of(doc_id: Column, line_no: Column) -> Column:
+    """A number in the order of doc_id, null first, and line_no: unlike a struct its minimum needs no sort."""
+    return (F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(NO_ID)).cast("decimal(20,0)")) * F.lit(LINES) + line_no).cast("decimal(38,0)")
+
+
+def head_of(place: str) -> Column:
+    """The (doc_id, line_no) of a place."""
+    line_no = F.pmod(place, F.lit(LINES))
+    number = ((F.col(place) - line_no) / F.lit(LINES)).cast("decimal(20,0)")
+    return F.struct(F.when(number > F.lit(str(NO_ID)).cast("decimal(20,0)"), number).cast("long").alias("doc_id"), line_no.cast("int").alias("line_no"))
+
+
+def chunks(lines: DataFrame, size: int, *keep: str) -> DataFrame:
+    """A row for every `size` shingles of a line, with their hashes h0, h1, ...; past the line's end the last shingle stands again."""
+    e = lines.select(*keep, F.encode("line", "UTF-32").alias("e")).withColumn("last", _places(F.col("e")))
+    rows = e.select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * size))).alias("at"))
+    cut = lambda k: F.substring(F.col("e"), F.least("last", F.col("at").bitwiseOR(F.lit(4 * k))), F.lit(4 * WIDTH))  # noqa: E731  or: places are 1 plus a multiple of the chunk
+    return rows.select(*keep, *(F.xxhash64(cut(k)).alias(f"h{k}") for k in range(size)))
+
+
+def _rotated(h: Column, turn: int) -> Column:
+    return F.shiftleft(h, 64 // TURNS * turn).bitwiseOR(F.shiftrightunsigned(h, 64 - 64 // TURNS * turn)) if turn else h
+
+
+def signed(distinct: DataFrame) -> DataFrame:
+    """(id, bands) of the lines of `distinct`; most of the minimum is taken within a row, the rest before anything is moved."""
+    turned = chunks(distinct, CHUNK, "id").select("id", *(_rotated(F.col(f"h{k}"), t).alias(f"h{k}_{t}") for k in range(CHUNK) for t in range(TURNS)))
+    nearest = lambda c: F.min(F.least(*(F.col(f"h{k}_{c % TURNS}").bitwiseXOR(F.lit(NEAR[c])) for k in range(CHUNK)))).alias(f"m{c}")
+    mins = turned.groupBy("id").agg(*(nearest(c) for c in range(COORDINATES)))
+    return mins.select("id", F.array(*(F.xxhash64(F.lit(b), *(f"m{c}" for c in cs)) for b, cs in enumerate(BANDS))).alias("bands"))
+
+
+def mapped(lines: DataFrame) -> DataFrame:
+    """(id, room, x0, x1, ...): a bound of the shingles of each of `lines` (id, line), and the words of the bitmap of its shingles."""
+    rows = chunks(lines.select("id", "line", F.greatest(F.length("line") - (WIDTH - 1), F.lit(1)).cast("double").alias("room")), CHUNK, "id", "room")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int"))
+    split = rows.select("id", "room", *(c for k in range(CHUNK) for c in (F.col(f"h{k}").bitwiseAND(F.lit(WORDS - 1)).alias(f"w{k}"), bit(f"h{k}").alias(f"b{k}"))))
+
+    def word(w: int) -> Column:
+        found = F.lit(0).cast("long")
+        for k in range(CHUNK):
+            found = found.bitwiseOR(F.when(F.col(f"w{k}") == w, F.col(f"b{k}")).otherwise(F.lit(0).cast("long")))
+        return F.bit_or(found).alias(f"x{w}")
+
+    return split.groupBy("id", "room").agg(*(word(w) for w in range(WORDS)))
+
+
+def may_be(similarity: float) -> Column:
+    """Whether sizes and bitmaps of two lines, a and b, leave room for the similarity. Sums of doubles, as those of integers are checked at some cost."""
+    differ = sum((F.bit_count(F.col(f"x{w}_a").bitwiseXOR(F.col(f"x{w}_b"))).cast("double") for w in range(WORDS)), F.lit(0.0))
+    return differ * (1 + similarity) <= (F.col("room_a") + F.col("room_b")) * (1 - similarity) + 1e-6
+
+
+def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `df` whose id is one of the distinct `ids`."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets, made again from the lines, are similar enough."""
-    both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
-    sets = F.transform(F.array(F.struct(shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))), lambda s: F.struct(
-        (F.size(s["x"]) + F.size(s["y"])).alias("n"), F.size(F.array_intersect(s["x"], s["y"])).alias("common")))
-    enough = F.transform(sets, lambda s: s["common"] >= similarity * (s["n"] - s["common"]))
-    return written(both.where(F.get(enough, F.lit(0))).select("a", "b"))
+def _sides(df: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """`df` twice, its id called a and b and its other columns by names that end so."""
+    return tuple(df.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab")
 
 
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def similar(pairs: DataFrame, lines: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    a, b = _sides(maps, *MAP)
+    met = written(pairs.join(a, "a").join(b, "b").where(may_be(similarity)).select("a", "b"))
+    a, b = _sides(lines, "line")
+    both = met.join(a, "a").join(b, "b").select("a", "b", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
+    found = written(both.where(F.size(F.array_intersect("x", "y")) >= F.lit(similarity) * F.size(F.array_union("x", "y"))).select("a", "b"))
+    dropped(met)
+    return found
 
 
-def agreement(a: str, b: str, similarity: float) -> Column:
-    """Whether sizes n and longer sketches k of two lines leave room for the similarity.
+def across(rows: DataFrame, lines: DataFrame, maps: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
+    """Similar pairs of different components in the lists (band, id) that reach several.
 
-    Of the SKETCH smallest hashes of the lines' union, a share as large as their
-    similarity is expected in both sketches; what is asked for is far less.
+    The join on the list verifies the pairs itself, each in the first list that
+    both are in: by sizes and bitmaps, then on sets of 32-bit hashes with room
+    for one collision. So it gives out hardly any that aren't similar.
     """
-    least, most = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
-    common = sum((F.coalesce(F.array_contains(f"k_{b}", F.get(f"k_{a}", F.lit(i))), F.lit(False)).cast("int") for i in range(SKETCH)), F.lit(0))
-    asked = F.least(F.lit(AGREE), F.ceil(least * AGREE / SKETCH))
-    # Bits first, which are cheap: hashes in common share their bit, and no more than two of few fall on another's.
-    bits = sum((F.bit_count(F.get(f"m_{a}", F.lit(i)).bitwiseAND(F.get(f"m_{b}", F.lit(i)))) for i in range(MARK_WORDS)), F.lit(0))
-    return (least >= similarity * most) & (bits >= asked - 2) & (common >= asked)
-
-
-def marks(sketch: str) -> Column:
-    """A bit map of a sketch: each hash sets one of 64 bits of one of MARK_WORDS words."""
-    one = "aggregate({0}, 0L, (s, x) -> s | if(pmod(x, {1}) = {2}, shiftleft(1L, cast(shiftright(x, 2) & 63 as int)), 0L))"
-    return F.array(*(F.expr(one.format(sketch, MARK_WORDS, i)) for i in range(MARK_WORDS)))
-
-
-def agreeing(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that `agreement` doesn't rule out."""
-    both = pairs.distinct().join(sketches.toDF("a", "n_a", "k_a", "m_a"), "a").join(sketches.toDF("b", "n_b", "k_b", "m_b"), "b")
-    return both.where(agreement("a", "b", similarity)).select("a", "b")
-
-
-def linked_components(lines: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(id, component) of the lines that are linked with others."""
-    posts = distinct.select("id", F.explode(bands(F.col("sig"))).alias("band"))
-    lists = posts.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub"))
-    rows = written(posts.join(lists.where("size > 1").select("band", "hub"), "band"))
-    places = written(rows.select("id").distinct().join(distinct.select("id", "first"), "id"))
-    if places.count() <= BROADCAST_IDS:
-        places = F.broadcast(places)
-    at_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
-    texts = lines.withColumn("id", line_id(F.col("line"))).join(places, "id").where(at_first)
-    texts = written(texts.select("id", "line").dropDuplicates(["id"]))
-    cut = F.transform(F.array(shingles(F.col("line"))), lambda s: F.struct(F.size(s).alias("n"), F.slice(s, 1, SKETCH).alias("k")))
-    sketches = texts.select("id", F.get(cut, F.lit(0)).alias("cut")).select("id", "cut.n", "cut.k")
-    sketches = written(sketches.withColumn("m", marks("k")))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return similar(agreeing(pairs, sketches, similarity), texts, similarity)
-
-    def placed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        comps = components(edges).toDF("id", "comp")
-        now = written(rows.join(comps, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp")))
-        top = F.max(F.struct(F.xxhash64(F.lit(1), "id").alias("h"), "id", "comp")).alias("top")
-        open_ = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), top).where("low <> high")
-        return now, open_.select("band", F.col("top.id").alias("hub"), F.col("top.comp").alias("hub_comp"))
-
-    edges = linked(rows.where("id <> hub").select(*_pair("id", "hub")))
-    now, open_ = placed(edges)
-    again = now.join(open_, "band").where("comp <> hub_comp").select(*_pair("id", "hub"))
-    edges = written(edges.unionByName(linked(again)))
-    now, open_ = placed(edges)
-    # The sketches go along, so the join itself keeps only pairs that can be similar.
-    left = written(now.join(open_.select("band"), "band").join(sketches, "id"))
-    mine, other = (left.select("band", F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}"), F.col("k").alias(f"k_{x}"), F.col("m").alias(f"m_{x}")) for x in "ab")
-    met = (mine["band"] == other["band"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & agreement("a", "b", similarity)
-    rest = mine.join(other, met).select("a", "b").distinct()
-    return components(edges.unionByName(similar(rest, texts, similarity)))
+    placed = written(rows.join(comps.toDF("id", "comp"), "id", "left").select("place", "band", "id", F.coalesce("comp", "id").alias("comp")))
+    open_ = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
+    left = written(placed.join(open_, "band"))
+    ids = written(left.select("id").distinct())
+    short = F.array_distinct(F.transform(shingles(F.col("line")), lambda h: F.hash(h)))
+    earlier = [f"band{k}" for k in range(len(BANDS) - 1)]
+    sets = written(_among(lines, ids).select("id", *(F.get("bands", F.lit(k)).alias(c) for k, c in enumerate(earlier)), short.alias("set")).join(maps, "id").withColumn("n", F.size("set").cast("double")))
+    # Less than 100 columns, and no nulls among them, keep the join in compiled code.
+    numbers = ["comp", "n", *MAP, *earlier]
+    sized = left.join(sets, "id").select("band", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("id", "place", *numbers)), "set")
+    mine, other = (sized.select("band", F.col("place").alias(f"place_{x}"), F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in (*numbers, "set"))) for x in "ab")
+    met = (mine["band"] == other["band"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & may_be(similarity)
+    for k, c in enumerate(earlier):
+        met &= (F.col("place_a") <= k) | (F.col(f"{c}_a") != F.col(f"{c}_b"))
+    met &= (F.size(F.array_intersect("set_a", "set_b")).cast("double") + 1) * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity
+    found = similar(mine.join(other, met).select("a", "b"), lines, maps, similarity)
+    dropped(placed, left, ids, sets)
+    return found
+
+
+def linked_components(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(id, component) of the lines that are linked with others; distinct: (id, line)."""
+    signs = written(signed(distinct))
+    posts = signs.select("id", F.posexplode("bands").alias("place", "band"))
+    # Of each list other hubs: those nearest to its key and farthest from it.
+    far = F.col("id").bitwiseXOR(F.col("band"))
+    sizes = posts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(far).alias("low"), F.max(far).alias("high"))
+    lists = written(sizes.where("n > 1").select("band", "n", *(F.col(c).bitwiseXOR(F.col("band")).alias(c) for c in ("low", "high"))))
+    long_ = lists.where("n > 2")
+    rows = written(posts.join(F.broadcast(long_) if long_.count() <= BROADCAST_LISTS else long_, "band"))
+    # Lists of up to three lines are compared in full by their two hubs.
+    hubs = F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))
+    pairs = lists.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(rows.select(F.inline(hubs))).where("a <> b")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    lines = written(_among(distinct, ids).join(_among(signs, ids), "id"))
+    maps = written(mapped(lines))
+    edges = similar(pairs, lines, maps, similarity)
+    comps = written(components(edges))
+    more = across(rows.where("n > 3").select("place", "band", "id"), lines, maps, comps, similarity)
+    found = written(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    dropped(signs, lists, rows, pairs, ids, lines, maps, edges, comps, more)
+    return found
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -147,19 +218,17 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     first_*: the line that stays for this one's component.
     """
-    lines = lines_of(docs)
-    sets = shingles(F.col("line"))
-    seen = written(lines.select("doc_id", "line_no", line_id(F.col("line")).alias("id"), sets.alias("s")).select(
-        "doc_id", "line_no", "id", F.slice("s", 1, KEEP).alias("sig")))
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    distinct = written(seen.groupBy("id").agg(first, F.max("sig").alias("sig")))
-    comps = written(linked_components(lines, distinct, similarity))
-    heads = distinct.join(comps, "id").groupBy("component").agg(F.min("first").alias("head"))
+    lines = lines_of(docs).withColumn("id", line_id(F.col("line")))
+    distinct = written(lines.groupBy("id", "line").agg(F.min(place_of(F.col("doc_id"), F.col("line_no"))).alias("place")))
+    places = distinct.select("id", "place")
+    comps = linked_components(distinct.select("id", "line"), similarity)
+    heads = places.join(comps, "id").groupBy("component").agg(F.min("place").alias("head"))
     linked = comps.join(heads, "component").select("id", "head")
-    whose = distinct.select("id", "first").join(linked, "id", "left").select("id", F.coalesce("head", "first").alias("head"))
+    whose = written(places.join(linked, "id", "left").select("id", F.coalesce("head", "place").alias("head")).select("id", head_of("head").alias("head")))
+    dropped(distinct, comps)
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))
     return (
-        seen.select("doc_id", "line_no", "id").join(whose, "id")
+        lines.select("doc_id", "line_no", "id").join(whose, "id")
         .select("doc_id", "line_no", F.col("id").alias("line_id"), F.col("head.doc_id").alias("first_doc_id"), F.col("head.line_no").alias("first_line_no"), kept.alias("kept"))
     )
 
