@@ -110,14 +110,14 @@ def test_tokens_and_numbers(spark):
     ("HTTPS://Example.COM:443//news/story/?b=2&utm_source=email&a=1#details", "https://example.com/news/story?a=1&b=2"), ("http://u:p@h.test:8080", "http://h.test:8080/"),
     ("https://bücher.test/ä?x=%C3%A4&y=", "https://xn--bcher-kva.test/ä?x=%C3%A4&y="), ("javascript:alert(1)", None), ("", None), (None, None), ("http://h:99999/", None), ("http:///x", None), ("https://[::1", None)])
 def test_canonical(raw, want):
-    assert urls.canonical(raw) == want
+    assert urls.identity(raw)[0] == want
 
 
 def test_slugs_and_groups(spark):
     long_ = "young-people-who-do-not-pass-gcse-english-and-maths"
     for u in (f"https://one.test/news/{long_}", f"https://two.test/2026/08/{long_}.html", f"https://x.test/{long_.upper()}.PHP/"):
-        assert urls.slug_of(urls.canonical(u)) == long_
-    assert urls.slug_of("https://example.test/news/latest") is None and urls.slug_of("https://example.test/") is None and urls.slug_of(None) is None
+        assert urls.identity(u)[2] == long_
+    assert not any(urls.identity(u)[2] for u in ("https://example.test/news/latest", "https://example.test/", None))
     df = spark.createDataFrame([(long_, "2026-08-19 14:15:00", "id1"), (None, "2026-08-19 14:15:00", "id2"), (long_, None, "id3")], "slug string, t string, id string")
     g = [r.g for r in df.select(urls.story_group(F.col("slug"), text.six_hours_of(F.col("t").cast("timestamp_ntz")), F.lit("flood"), F.col("id")).alias("g")).collect()]
     assert [x.method for x in g] == ["url_slug_6h", "canonical_url", "canonical_url"] and [g[1].id, g[2].id] == ["id2", "id3"]

@@ -293,7 +293,7 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("events", "labels", "documents", "conversations", "pages", "part", "lineitem"):
+    for t in ("events", "labels", "documents", "conversations", "pages", "part", "lineitem", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.execute(catalogue.ORACLES[name]).df()
     got = catalogue.QUERIES[name](spark, SMALL).toPandas()[want.columns]

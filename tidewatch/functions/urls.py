@@ -8,7 +8,8 @@ derives everything at once; it is meant for rows that passed the theme filter.
 from __future__ import annotations
 
 import re
-from urllib.parse import parse_qsl, unquote, urlencode, urlsplit, urlunsplit
+from typing import NamedTuple
+from urllib.parse import parse_qsl, unquote, urlencode, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,49 +21,64 @@ TRACKING_PREFIX = "utm_"
 #: Slug words that say nothing about a story.
 GENERIC = ["article", "index", "news", "story", "update", "latest"]
 FEWEST_SLUG_WORDS = 5
-_DEFAULT_PORT = {"http": 80, "https": 443}
+#: Page suffixes that a slug doesn't keep.
+PAGE_SUFFIXES = (".html", ".htm", ".aspx", ".asp", ".php")
+_PORTS = {"http": (None, 0, 80), "https": (None, 0, 443)}
+_TELLING = re.compile("[a-z0-9]*[a-z][a-z0-9]*")
 IDENTITY = "canonical_url string, source_domain string, slug string"
 
 
-def _tracks(key: str) -> bool:
-    key = key.lower()
-    return key.startswith(TRACKING_PREFIX) or key in TRACKING
+class Address(NamedTuple):
+    """What identifies a page: everything that only says how a reader came there is gone."""
 
+    scheme: str
+    host: str
+    port: str
+    segments: tuple[str, ...]
+    query: str
 
-def canonical(raw: str | None) -> str | None:
-    """The comparable form of an http(s) URL, or None for anything else."""
-    try:
-        u = urlsplit((raw or "").strip())
-        scheme = u.scheme.lower()
-        if scheme not in _DEFAULT_PORT or not u.hostname:
-            return None
-        host = u.hostname.encode("idna").decode("ascii").lower()
-        if u.port and u.port != _DEFAULT_PORT[scheme]:
-            host += f":{u.port}"
-        path = re.sub("/+", "/", u.path)
-        kept = sorted((kv for kv in parse_qsl(u.query, keep_blank_values=True) if not _tracks(kv[0])), key=lambda kv: (kv[0].lower(), kv[1]))
-        return urlunsplit((scheme, host, path.rstrip("/") or "/", urlencode(kept), ""))
-    except ValueError:  # also what bad host names raise
-        return None
+    def __str__(self) -> str:
+        return f"{self.scheme}://{self.host}{self.port}/{'/'.join(self.segments)}" + ("?" + self.query if self.query else "")
 
+    @property
+    def domain(self) -> str | None:
+        return self.host.partition(":")[0] or None
 
-def domain_of(url: str | None) -> str | None:
-    return urlsplit(url).hostname if url else None
+    @property
+    def slug(self) -> str | None:
+        """The telling words of the last path segment, if there are enough."""
+        title = unquote(self.segments[-1]).lower() if self.segments else ""
+        for suffix in PAGE_SUFFIXES:
+            if title.endswith(suffix):
+                title = title.removesuffix(suffix)
+                break
+        words = [w for w in _TELLING.findall(title) if w not in GENERIC]
+        return "-".join(words) if len(words) >= FEWEST_SLUG_WORDS else None
 
 
-def slug_of(url: str | None) -> str | None:
-    """The telling words of the last path segment, if there are enough."""
-    last = [s for s in urlsplit(url).path.split("/") if s][-1:] if url else []
-    if not last:
+def address(raw: str | None) -> Address | None:
+    """The address of an http(s) URL, None for anything else; bad hosts and ports raise ValueError."""
+    u = urlsplit((raw or "").strip())
+    free = _PORTS.get(u.scheme)
+    if free is None or not u.hostname:
         return None
-    stem = re.sub(r"(?i)\.(html?|aspx?|php)$", "", unquote(last[0])).lower()
-    words = [w for w in re.findall("[a-z0-9]+", stem) if w not in GENERIC and not w.isdigit()]
-    return "-".join(words) if len(words) >= FEWEST_SLUG_WORDS else None
+    pairs = [(k.lower(), v, k) for k, v in parse_qsl(u.query, keep_blank_values=True)]
+    telling = [x for x in pairs if x[0] not in TRACKING and not x[0].startswith(TRACKING_PREFIX)]
+    query = urlencode([(k, v) for _, v, k in sorted(telling, key=lambda x: x[:2])])
+    return Address(u.scheme, str(u.hostname.encode("idna"), "ascii").lower(), "" if u.port in free else f":{u.port}", tuple(filter(None, u.path.split("/"))), query)
+
+
+def identity(raw: str | None) -> tuple[str | None, str | None, str | None]:
+    """(canonical URL, its domain, its slug), all None if it isn't a URL."""
+    try:
+        found = address(raw)
+    except ValueError:
+        found = None
+    return (str(found), found.domain, found.slug) if found else (None, None, None)
 
 
 def _identity(raw: pd.Series) -> pd.DataFrame:
-    urls = [canonical(None if x is None else str(x)) for x in raw]
-    return pd.DataFrame({"canonical_url": urls, "source_domain": [domain_of(u) for u in urls], "slug": [slug_of(u) for u in urls]}, dtype=object)
+    return pd.DataFrame([identity(None if x is None else str(x)) for x in raw], columns=["canonical_url", "source_domain", "slug"], dtype=object)
 
 
 def url_identity(raw: Column | str) -> Column:

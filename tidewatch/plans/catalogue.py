@@ -70,7 +70,11 @@ FEATURES = ARTICLES + """, hourly AS (
   FROM articles GROUP BY 1, 2, 5)"""
 
 
-@query(f"WITH {ARTICLES} SELECT date_trunc('hour', seen_at) AS window_start, disaster_type, coalesce(location_name, 'Unknown') AS location_name, coalesce(country_code, 'Unknown') AS country_code, count(*) AS article_count, count(DISTINCT source_domain) AS unique_domain_count FROM articles WHERE seen_at IS NOT NULL GROUP BY ALL")
+@query(f"""WITH {ARTICLES}, per_domain AS (
+  SELECT date_trunc('hour', seen_at) AS h, disaster_type AS t, ifnull(location_name, 'Unknown') AS l, ifnull(country_code, 'Unknown') AS c, source_domain AS d, count(*) AS n
+  FROM articles GROUP BY 1, 2, 3, 4, 5)
+SELECT h AS window_start, t AS disaster_type, l AS location_name, c AS country_code, CAST(sum(n) AS BIGINT) AS article_count, count(d) AS unique_domain_count
+FROM per_domain WHERE h IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def hourly_counts(spark, sf_dir):
     return features.hourly_counts(articles(spark, sf_dir))
 
@@ -179,12 +183,30 @@ def round_robin_review(spark, sf_dir):
     return reports.review_sample(rows.withColumns(missing), 40).select("review_bucket", "article_id", "location_selection_status")
 
 
-@query("""SELECT lang, count(*) AS labeled, count(*) FILTER (quality = 1) AS relevant, round(count(*) FILTER (quality = 1) / nullif(count(*), 0), 6) AS relevance_rate
-FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
+_SHEET = """sheet AS (SELECT d.doc_id, CASE WHEN d.lang = 'en' THEN 'high' ELSE 'weak' END AS strength, CASE WHEN l.toxic = 1 THEN 'uncertain' WHEN l.quality = 1 THEN 'relevant' WHEN l.quality = 0 THEN 'not_relevant' ELSE '' END AS said,
+  CASE d.doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'UNCERTAIN' ELSE 'US:A' || d.doc_id % 3 END AS region, CASE WHEN d.doc_id % 7 = 0 THEN 'UNKNOWN' WHEN d.doc_id % 11 = 0 THEN 'US' ELSE 'US:A' || d.doc_id % 4 END AS machine FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
+@query(f"""WITH {_SHEET}, by_strength AS (SELECT strength, count(*) AS labeled_rows, count(*) FILTER (said = 'relevant') AS relevant_rows FROM sheet WHERE said IN ('relevant', 'not_relevant') GROUP BY 1),
+whole AS (SELECT count(*) AS review_rows, count(*) FILTER (said IN ('relevant', 'not_relevant')) AS labeled_rows, count(*) FILTER (said = '') AS unlabeled_rows, count(*) FILTER (said = 'uncertain') AS uncertain_rows, count(*) FILTER (said = 'relevant') AS relevant_rows,
+  count(*) FILTER (region NOT IN ('', 'UNCERTAIN')) AS region_labeled_rows, count(*) FILTER (region = '') AS region_unlabeled_rows, count(*) FILTER (region = 'UNCERTAIN') AS region_uncertain_rows, count(*) FILTER (region = machine) AS region_correct_rows FROM sheet)
+SELECT '' AS strength, *, round(relevant_rows / nullif(labeled_rows, 0), 6) AS relevance_rate, round(region_correct_rows / nullif(region_labeled_rows, 0), 6) AS region_accuracy FROM whole
+UNION ALL SELECT strength, NULL, labeled_rows, NULL, NULL, relevant_rows, NULL, NULL, NULL, NULL, round(relevant_rows / nullif(labeled_rows, 0), 6), NULL FROM by_strength""")
 def review_scorecard(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    good = F.count_if(F.col("quality") == 1)
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("labeled"), good.alias("relevant"), F.round(good / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("relevance_rate"))
+    """Every figure of the scorecard over documents as a labelled sheet: a row for the whole and one for each strength."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    sheet = d.selectExpr(
+        "if(lang = 'en', ' High', 'weak') AS disaster_match_strength", "CASE WHEN doc_id % 7 = 0 THEN 'ambiguous_region' WHEN doc_id % 2 = 0 THEN 'single_region' ELSE 'dominant_region' END AS location_selection_status",
+        "'us' AS country_code", "if(doc_id % 11 = 0, '', concat('a', doc_id % 4)) AS adm1_code",
+        "CASE WHEN toxic = 1 THEN 'Uncertain' WHEN quality = 1 THEN ' relevant' WHEN quality = 0 THEN 'NOT_RELEVANT ' END AS label_disaster_relevance",
+        "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'uncertain' ELSE concat('us:a', doc_id % 3) END AS label_primary_region")
+    card = reports.scorecard(sheet)
+    r, p = card["relevance"], card["primary_region"]
+    short = lambda x: None if x is None else round(x, 6)
+    whole = ("", card["review_rows"], r["labeled_rows"], r["unlabeled_rows"], r["uncertain_rows"], r["relevant_rows"], p["labeled_rows"], p["unlabeled_rows"], p["uncertain_rows"], p["correct_rows"], short(r["overall_relevance_rate"]), short(p["accuracy"]))
+    parts = [(k, None, v["labeled"], None, None, v["relevant"], None, None, None, None, short(v["relevance_rate"]), None) for k, v in r["by_match_strength"].items()]
+    names = ["review_rows", "labeled_rows", "unlabeled_rows", "uncertain_rows", "relevant_rows", "region_labeled_rows", "region_unlabeled_rows", "region_uncertain_rows", "region_correct_rows"]
+    return spark.createDataFrame([whole, *parts], "strength string, " + ", ".join(f"{n} long" for n in names) + ", relevance_rate double, region_accuracy double")
 
 
 @query("SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text, max(turn) AS turn FROM conversations GROUP BY conv_id")
@@ -314,6 +336,59 @@ def flag_counts(spark, sf_dir):
     return rows.select(flags.alias("f")).agg(has("invalid_coordinates"), has("multiple_locations"), has("ambiguous_region"))
 
 
+def _records(spark, sf_dir) -> DataFrame:
+    """Orders as raw records, their line items as the places mentioned; customers repeat URLs."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o_orderkey", "struct(l_linenumber, l_partkey, l_suppkey) AS k", f"{_MENTION} AS m")
+    places = rows.groupBy("o_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]), ";").alias("places"))
+    marks = f"array({', '.join(map(repr, _MARKS))})"
+    url = "concat('HTTPS://u@Site', o_custkey % 5, '.Test:443//news/', if(o_custkey % 4 = 0, 'latest-1', concat('Big-flood-hits-town-w', o_custkey)), '.html/?utm_Source=x&b=', o_custkey % 3, '&a=1#top')"
+    return table(spark, sf_dir, "orders").join(places, "o_orderkey", "left").selectExpr(
+        "if(o_orderkey % 9 = 0, '', concat('r', o_orderkey)) AS GKGRECORDID", "if(o_orderkey % 13 = 0, 'bad', concat(date_format(o_orderdate, 'yyyyMMdd'), lpad(o_orderkey % 24, 2, '0'), '1500')) AS `V2.1DATE`",
+        "concat('common', o_custkey % 3) AS V2SOURCECOMMONNAME", f"if(o_custkey % 11 = 0, concat(' no url ', o_custkey), {url}) AS V2DOCUMENTIDENTIFIER",
+        f"concat(lower({marks}[int(o_orderkey % {len(_MARKS)})]), ',3;CRISIS') AS V1THEMES", f"concat({marks}[int(o_custkey % {len(_MARKS)})], ',10;') AS V2ENHANCEDTHEMES",
+        "if(o_orderkey % 17 = 0, '', places) AS V2ENHANCEDLOCATIONS", "concat(o_orderkey % 100 - 50, '.5,1,2') AS `V1.5TONE`", "'orders' AS _source_file", "0 AS _file_ord", "o_orderkey AS _row_ord")
+
+
+_SILVER = f"""WITH {_PLACES}, prim AS (SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY k.l_orderkey ORDER BY valid DESC, CASE WHEN kind IN (3, 4) THEN 4 WHEN kind IN (2, 5) THEN 3 WHEN kind = 1 THEN 2 ELSE 1 END DESC, mentions DESC, k.pos, k.i) AS rk
+  FROM k JOIN st USING (l_orderkey) WHERE status = 'ambiguous_region' OR k.region = st.top) WHERE rk = 1),
+rec AS (SELECT o_orderkey AS o, o_custkey AS c, {_MARKS!r}[CAST(o_orderkey % {len(_MARKS)} AS INT) + 1] AS m1, {_MARKS!r}[CAST(o_custkey % {len(_MARKS)} AS INT) + 1] AS m2,
+  CASE WHEN o_orderkey % 13 > 0 THEN date_trunc('day', o_orderdate) + to_hours(CAST(o_orderkey % 24 AS INT)) + INTERVAL 15 MINUTE END AS seen_at,
+  CASE WHEN o_custkey % 11 > 0 THEN 'https://site' || o_custkey % 5 || '.test/news/' || CASE WHEN o_custkey % 4 = 0 THEN 'latest-1' ELSE 'Big-flood-hits-town-w' || o_custkey END || '.html?a=1&b=' || o_custkey % 3 END AS canonical_url,
+  CASE WHEN o_custkey % 11 > 0 AND o_custkey % 4 > 0 THEN 'big-flood-hits-town-w' || o_custkey END AS slug FROM orders),
+tok AS (SELECT *, CASE WHEN m1 = m2 THEN [m1, 'CRISIS'] ELSE [m1, 'CRISIS', m2] END AS themes, sha256(coalesce(canonical_url, 'no url ' || c)) AS article_id FROM rec),
+mat AS (SELECT *, list_filter(themes, lambda t: contains(t, 'FLOOD')) AS matched FROM tok),
+cls AS (SELECT *, CASE WHEN len(matched) = 0 THEN NULL WHEN len(list_filter(matched, lambda t: t = 'FLOOD' OR (regexp_matches(t, '_(FLOOD|FLOODS|FLOODING|FLASH_FLOODS)$') AND NOT starts_with(t, 'WB_')))) > 0 THEN 'high' ELSE 'weak' END AS strength FROM mat),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY o) AS rn FROM cls WHERE strength IS NOT NULL) WHERE rn = 1),
+full_ AS (SELECT once.*, p.name, p.country, p.adm1, p.lat, p.lon, p.valid, coalesce(st.status, 'missing') AS status, coalesce(st.candidates, '') AS candidates, (SELECT count(*) FROM k WHERE k.l_orderkey = p.l_orderkey) AS places,
+  CASE WHEN slug IS NOT NULL AND seen_at IS NOT NULL THEN sha256('flood|' || strftime(time_bucket(INTERVAL 6 HOUR, seen_at, TIMESTAMP '2000-01-01'), '%Y%m%d%H') || '|' || slug) ELSE article_id END AS group_id
+  FROM once LEFT JOIN prim p ON p.l_orderkey = once.o AND once.o % 17 > 0 LEFT JOIN st ON st.l_orderkey = once.o AND once.o % 17 > 0)"""
+
+
+@query(_SILVER + """ SELECT 'orders' AS source_file, CASE WHEN o % 9 = 0 THEN article_id ELSE 'r' || o END AS record_id, article_id, seen_at, canonical_url, coalesce('site' || CASE WHEN c % 11 > 0 THEN c % 5 END || '.test', 'common' || c % 3) AS source_domain,
+  name AS location_name, country AS country_code, adm1 AS adm1_code, CAST(NULL AS VARCHAR) AS adm2_code, lat AS latitude, lon AS longitude, places AS distinct_location_count, status AS location_selection_status, candidates AS location_candidate_regions,
+  'flood' AS disaster_type, strength AS disaster_match_strength, array_to_string(matched, '|') AS matched_disaster_themes, array_to_string(themes, '|') AS themes, o % 100 - 50 + CASE WHEN o % 100 < 50 THEN -0.5 ELSE 0.5 END::DOUBLE AS tone,
+  CASE WHEN valid IS NULL THEN 'missing' WHEN valid THEN 'coordinates_valid' ELSE 'location_only' END AS geo_confidence,
+  array_to_string(list_filter([CASE WHEN canonical_url IS NULL THEN 'invalid_url' END, CASE WHEN seen_at IS NULL THEN 'invalid_seen_at' END, CASE WHEN valid IS NULL THEN 'missing_location' END, CASE WHEN NOT valid THEN 'invalid_coordinates' END,
+    CASE WHEN places > 1 THEN 'multiple_locations' END, CASE WHEN status = 'ambiguous_region' THEN 'ambiguous_region' END], lambda x: x IS NOT NULL), '|') AS quality_flags,
+  group_id AS duplicate_group_id, CASE WHEN group_id = article_id THEN 'canonical_url' ELSE 'url_slug_6h' END AS duplicate_group_method, count(*) OVER (PARTITION BY group_id) AS duplicate_group_size FROM full_""")
+def silver_articles(spark, sf_dir):
+    """The whole way from records to articles, lists as text."""
+    found = silver.silver(_records(spark, sf_dir), "flood", "weak")
+    return found.withColumns({c: F.array_join(c, "|") for c in ("location_candidate_regions", "matched_disaster_themes", "themes", "quality_flags")})
+
+
+@query(_SILVER + """, before AS (SELECT count(*) AS input_rows, count(strength) AS theme_matched_rows, count(*) FILTER (strength = 'weak') AS weak_rows_skipped, count(*) FILTER (strength = 'high') AS disaster_rows, count(DISTINCT CASE WHEN strength = 'high' THEN article_id END) AS output_rows FROM cls),
+first_ AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY o) AS rn FROM cls WHERE strength = 'high'),
+after AS (SELECT count(*) FILTER (status = 'ambiguous_region') AS a, count(*) FILTER (status IN ('ambiguous_region', 'missing', 'unresolved_region')) AS r FROM (SELECT coalesce(st.status, 'missing') AS status FROM first_ f LEFT JOIN st ON st.l_orderkey = f.o AND f.o % 17 > 0 WHERE f.rn = 1))
+SELECT input_rows, theme_matched_rows, weak_rows_skipped, disaster_rows, disaster_rows - output_rows AS duplicate_rows, r AS location_review_rows, a AS ambiguous_region_rows, output_rows FROM before, after""")
+def silver_counters(spark, sf_dir):
+    """The run's counts at the filters and after deduplication, for strong matches."""
+    records = _records(spark, sf_dir)
+    found = silver.counters(records, silver.silver(records, "flood", "high"), 1, "flood", "high")
+    names = [k for k in found if k != "input_files"]
+    return spark.createDataFrame([tuple(found[k] for k in names)], ", ".join(f"{k} long" for k in names))
+
+
 @query(f"""WITH {ARTICLES} SELECT coalesce(location_name, 'Unknown') AS location_name, coalesce(country_code, 'Unknown') AS country_code, count(*) AS article_count,
   count(DISTINCT source_domain) AS unique_domain_count FROM articles GROUP BY 1, 2 ORDER BY 3 DESC, 4 DESC, 1, 2 LIMIT 10""")
 def top_locations(spark, sf_dir):

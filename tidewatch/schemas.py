@@ -18,6 +18,7 @@ RECORDS = T.StructType(
     + [T.StructField("_source_file", T.StringType()), T.StructField("_file_ord", T.LongType()), T.StructField("_row_ord", T.LongType())]
 )
 
+#: The columns of the article, feature and anomaly tables, in order.
 SILVER = (
     "source_file string, record_id string, article_id string, seen_at timestamp_ntz, canonical_url string, source_domain string, "
     "location_name string, country_code string, adm1_code string, adm2_code string, latitude double, longitude double, "
