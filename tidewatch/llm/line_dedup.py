@@ -189,13 +189,14 @@ def across(rows: DataFrame, lines: DataFrame, maps: DataFrame, comps: DataFrame,
 
 
 def linked_components(distinct: DataFrame, similarity: float) -> DataFrame:
-    """(id, component) of the lines that are linked with others; distinct: (id, line)."""
-    signs = written(signed(distinct))
+    """(id, component) of the lines that are linked with others; distinct: (id, line), which is dropped as soon as it has been read."""
+    signs = written(signed(distinct.select("id", "line")))
     posts = signs.select("id", F.posexplode("bands").alias("place", "band"))
-    # Of each list other hubs: those nearest to its key and farthest from it.
-    far = F.col("id").bitwiseXOR(F.col("band"))
-    sizes = posts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(far).alias("low"), F.max(far).alias("high"))
-    lists = written(sizes.where("n > 1").select("band", "n", *(F.col(c).bitwiseXOR(F.col("band")).alias(c) for c in ("low", "high"))))
+    # Two hubs of a list, others for each group of bands: lists of the same lines share theirs.
+    turn = F.element_at(F.array(*(F.lit(NEAR[g]) for g in range(GROUPS))), (F.floor(F.col("place") / (ROWS + 1)) + 1).cast("int"))
+    far = F.col("id").bitwiseXOR(turn)
+    sizes = posts.groupBy("place", "band").agg(F.count(F.lit(1)).alias("n"), F.min(far).alias("low"), F.max(far).alias("high"))
+    lists = written(sizes.where("n > 1").select("band", "n", *(F.col(c).bitwiseXOR(turn).alias(c) for c in ("low", "high"))))
     long_ = lists.where("n > 2")
     rows = written(posts.join(F.broadcast(long_) if long_.count() <= BROADCAST_LISTS else long_, "band"))
     # Lists of up to three lines are compared in full by their two hubs.
@@ -203,13 +204,15 @@ def linked_components(distinct: DataFrame, similarity: float) -> DataFrame:
     pairs = lists.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(rows.select(F.inline(hubs))).where("a <> b")
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    lines = written(_among(distinct, ids).join(_among(signs, ids), "id"))
+    lines = written(_among(distinct.select("id", "line"), ids).join(_among(signs, ids), "id"))
     maps = written(mapped(lines))
+    dropped(signs, distinct, lists, ids)
     edges = similar(pairs, lines, maps, similarity)
     comps = written(components(edges))
+    dropped(pairs, edges)
     more = across(rows.where("n > 3").select("place", "band", "id"), lines, maps, comps, similarity)
     found = written(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
-    dropped(signs, lists, rows, pairs, ids, lines, maps, edges, comps, more)
+    dropped(rows, lines, maps, comps, more)
     return found
 
 
@@ -220,12 +223,12 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     lines = lines_of(docs).withColumn("id", line_id(F.col("line")))
     distinct = written(lines.groupBy("id", "line").agg(F.min(place_of(F.col("doc_id"), F.col("line_no"))).alias("place")))
-    places = distinct.select("id", "place")
-    comps = linked_components(distinct.select("id", "line"), similarity)
+    places = written(distinct.select("id", "place"))
+    comps = linked_components(distinct, similarity)
     heads = places.join(comps, "id").groupBy("component").agg(F.min("place").alias("head"))
     linked = comps.join(heads, "component").select("id", "head")
     whose = written(places.join(linked, "id", "left").select("id", F.coalesce("head", "place").alias("head")).select("id", head_of("head").alias("head")))
-    dropped(distinct, comps)
+    dropped(places, comps)
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))
     return (
         lines.select("doc_id", "line_no", "id").join(whose, "id")
