@@ -255,6 +255,17 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(vectors(spark, [])).count() == 0
 
 
+def test_embeddings_repeated_ids_and_extra_columns(spark):
+    """A vec_id with two vectors: each row is counted by its own; columns of the same names as inner ones don't clash."""
+    x, y, z = [1.0, 0.0, 0.02], [1.0, 0.0, 0.1], [1.0, 0.0, -0.1]
+    rows = [(1, x, 0, "n"), (2, y, 0, "n"), (2, z, 0, "n"), (3, [0.0, 1.0, 0.0], 0, "n"), (3, [0.0, 1.0, 0.0], 0, "n")]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string").selectExpr("*", "1 as rep", "2 as dim", "3 as shard")
+    got = sorted(tuple(r) for r in embedding_dedup.near_vectors(data, 0.9).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 3, True), (3, 1, 3, True)]
+    got = sorted(tuple(r) for r in embedding_dedup.near_vectors(data, 0.99).collect())
+    assert [(v, n) for v, n, *_ in got] == [(1, 2), (2, 1), (2, 1), (3, 1), (3, 1)]
+
+
 def test_graph_recall():
     rng = np.random.default_rng(8)
     x = embedding_dedup.unit(rng.normal(size=(3000, 24))).astype(np.float32)

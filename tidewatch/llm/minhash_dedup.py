@@ -2,29 +2,33 @@
 
 A document's set holds the distinct shingles of its words (A-Z lower-cased); a
 signature has COORDINATES MinHash values. Documents with equal sets form a
-class, named by the number of one of its rows, and only classes are compared. A class is posted under the (coordinate,
-value) pairs of its signature. Two signatures that agree in at least MATCHES
-coordinates share one within the first COORDINATES - MATCHES + 1 of either, in
+class, named by the number of one of its rows, and only classes are compared. A
+class is posted under the (coordinate, value) pairs of its signature. Two
+signatures that agree in at least `matches` coordinates share one within the
+first COORDINATES - matches + 1 of either, in
 any common order; the order puts frequent pairs last, so postings of passages
 that many documents share are mostly skipped. Agreements are counted on the
 whole signatures of pairs that share a posting; pairs above the threshold are
 confirmed on the whole sets.
 
 Hot lists aren't expanded into pairs at once. Two rounds compare every member
-of a list with one hub of the list, the second with members of other components
-only. What is left then are lists whose members lie in several components. Of
-those, all pairs across components are compared: by a join where the list is
-short, in blocks of members where it is long. So no pair that shares a posting
-and may connect two components is left out, and a group of copies costs a
-number of comparisons that is linear in it as long as the rounds connect it.
+of a list with one hub of the list, another one in each list, the second with
+members of other components only. What is left then are lists whose members lie
+in several components. Of those, all pairs across components are compared: by a
+join where the list is short, in blocks of members where it is long. A task that
+compares blocks gives out only pairs whose signatures agree and whose bitmaps of
+shingles differ in no more bits than the sets may in elements, which loses no
+similar pair. So no pair that shares a posting and may connect two components is
+left out, and a group of copies costs a number of comparisons that is linear in
+it as long as the rounds connect it; the comparisons (not the rows) of what stays
+apart, at similarities near the threshold, grow with the square of its number.
 
 Confirming reads every set once per bucket of pairs: members of the same large
 list are given common blocks, and pairs between two blocks share a bucket.
 
-Recall: a pair at the similarity threshold 0.85 agrees in fewer than 44 of 64
-coordinates with a probability of about 1 in 5000, at 0.8 (threshold 41) of
-about 1 in 600; more similar pairs are missed far less often, and components
-hang together by many pairs.
+Recall: a pair at the similarity asked for agrees in fewer than `matches`
+coordinates with a probability of MISS; more similar pairs are missed far less
+often, and components hang together by many pairs.
 
 Defined cases: a text without words has an empty set and is linked with
 nothing; a text with fewer words than a shingle has its whole sequence as its
@@ -39,6 +43,7 @@ result; columns besides doc_id and text are not read by near_duplicates.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -46,14 +51,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import columns, components, written
+from tidewatch.llm.common import columns, components, dropped, written
 
 COORDINATES = 64
-#: Agreements asked for, by the similarity in per cent.
-MATCHES = {85: 44, 80: 41}
+#: The probability with which a pair at the similarity asked for may agree in too few coordinates.
+MISS = 1 / 4000
 #: Lists above HEAVY members are put last; at most HEAVY_MOST such lists are told to the tasks, else the bound is raised.
 HEAVY, HEAVY_MOST = 32, 1 << 17
 SHORT_LIST, BLOCK, BUCKET_PAIRS = 64, 512, 2000
+#: Bits of a bitmap of shingles.
+BITS = 4096
 BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(77)
@@ -170,6 +177,16 @@ def _mask(heavy: np.ndarray, n: int) -> Callable:
     return of
 
 
+def matches_for(percent: int, miss: float = MISS) -> int:
+    """The most agreements that a pair of this similarity falls short of with a probability of `miss` at most."""
+    p, tail = percent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        tail += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if tail > miss:
+            return max(1, k)
+    return COORDINATES
+
+
 def _agreements(a: pd.Series, b: pd.Series) -> pd.Series:
     x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(len(s), COORDINATES) for s in (a, b))
     return pd.Series((x == y).sum(1))
@@ -192,31 +209,47 @@ def _confirm(percent: int) -> Callable:
     return of
 
 
+def _bitmap(width: int) -> Callable:
+    """The shingles' bits: two sets differ in as many elements as their bitmaps in bits, or in more."""
+
+    def of(text: pd.Series) -> pd.Series:
+        out = []
+        for t in text:
+            bits = np.zeros(BITS, bool)
+            bits[shingle_set(t, width) % np.uint64(BITS)] = True
+            out.append(np.packbits(bits).tobytes())
+        return pd.Series(out)
+
+    return of
+
+
 def _across(matches: int, percent: int) -> Callable:
     """Pairs of a block of a long list, or of two, in different components, that agree often enough and whose sets can be similar enough.
 
     A pair counts in the list of the first coordinate that both prefixes hold
-    and share, and in no other. own: shingles that no other document of the
-    open lists has; what two sets share has none of them.
+    and share, and in no other.
     """
     bits = np.left_shift(np.uint64(1), np.arange(COORDINATES, dtype=np.uint64))
 
     def of(key, pdf: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
         s = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), COORDINATES)
-        ids, comp, block, size, own = (pdf[c].to_numpy() for c in ("id", "comp", "block", "n", "own"))
+        maps = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), BITS // 64)
+        ids, comp, block, size = (pdf[c].to_numpy() for c in ("id", "comp", "block", "n"))
         mask, coord = pdf["mask"].to_numpy().view(np.uint64), int(pdf["coord"].iloc[0])
         earlier = np.uint64((1 << coord) - 1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = []
         for at in left:
-            common = np.minimum(size[right] - own[right], size[at] - own[at])
-            hit = right[(100 * common >= percent * (size[right] + size[at] - common)) & (comp[right] != comp[at])]
+            hit = right[comp[right] != comp[at]]
             if i == j:
                 hit = hit[ids[hit] > ids[at]]
             same = s[hit] == s[at]
             shared = np.where(same, bits, np.uint64(0)).sum(1, dtype=np.uint64) & mask[hit] & mask[at]
             hit = hit[(same.sum(1) >= matches) & ((shared & earlier) == 0)]
+            # Similar sets differ in (100 - percent) of (100 + percent) of their sizes' sum at most.
+            differ = np.bitwise_count(maps[hit] ^ maps[at]).sum(1)
+            hit = hit[(100 + percent) * differ <= (100 - percent) * (size[hit] + size[at])]
             if len(hit):
                 out.append(np.stack([np.minimum(ids[hit], ids[at]), np.maximum(ids[hit], ids[at])], 1))
         found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
@@ -229,18 +262,24 @@ class _Join:
     """The compared classes of one call; docs has (id, text), with an id for each row."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
-        self.docs, self.classes, self.width, self.percent, self.matches = docs, classes, width, percent, MATCHES[percent]
+        self.docs, self.classes, self.width, self.percent, self.matches = docs, classes, width, percent, matches_for(percent)
+        self.scratch: list[DataFrame] = []
         self.posts = self._post()
-        self.lists = written(self.posts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1"))
-        self.rows = written(self.posts.join(self.lists, "token"))
+        self.lists = self.kept(self.posts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("id").bitwiseXOR(F.col("token"))).bitwiseXOR(F.col("token")).alias("hub")).where("n > 1"))
+        self.rows = self.kept(self.posts.join(self.lists, "token"))
         biggest = self.rows.groupBy("id").agg(F.max(F.struct("n", "hub")).alias("top"))
         home = F.xxhash64("top.hub", F.pmod(F.xxhash64(F.lit(9), "id"), F.ceil(F.col("top.n") / 256)))
-        self.homes = written(biggest.select("id", home.alias("home")))
+        self.homes = self.kept(biggest.select("id", home.alias("home")))
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """`df` written, to be dropped at the end."""
+        self.scratch.append(written(df))
+        return self.scratch[-1]
 
     def _post(self) -> DataFrame:
         n = COORDINATES - self.matches + 1
         every = self.classes.select(F.explode(F.pandas_udf(_all_tokens, "array<long>")("sig")).alias("token"))
-        counts = written(every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY))
+        counts = self.kept(every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY))
         bound = HEAVY
         while counts.where(F.col("n") > bound).count() > HEAVY_MOST:
             bound *= 4
@@ -248,7 +287,7 @@ class _Join:
         self.mask = F.pandas_udf(_mask(heavy, n), "long")
         first = F.pandas_udf(_prefix(heavy, n), "token array<long>, coord array<int>")("sig")
         posts = self.classes.select("id", first.alias("p")).select("id", F.explode(F.arrays_zip("p.token", "p.coord")).alias("p"))
-        return written(posts.select("id", "p.token", "p.coord"))
+        return self.kept(posts.select("id", "p.token", "p.coord"))
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
         sigs = self.classes.select("id", "sig")
@@ -263,35 +302,24 @@ class _Join:
         """
         homes = self.homes
         keyed = pairs.join(homes.toDF("a", "home_a"), "a").join(homes.toDF("b", "home_b"), "b")
-        keyed = written(keyed.select("a", "b", F.xxhash64(F.least("home_a", "home_b"), F.greatest("home_a", "home_b")).alias("home")))
+        keyed = self.kept(keyed.select("a", "b", F.xxhash64(F.least("home_a", "home_b"), F.greatest("home_a", "home_b")).alias("home")))
         buckets = max(12, keyed.count() // BUCKET_PAIRS)
         keyed = keyed.select("a", "b", F.pmod("home", F.lit(buckets)).alias("bucket"))
-        needed = written(keyed.select(F.col("bucket").alias("at"), F.explode(F.array("a", "b")).alias("id")).distinct())
+        needed = self.kept(keyed.select(F.col("bucket").alias("at"), F.explode(F.array("a", "b")).alias("id")).distinct())
         if needed.count() <= BROADCAST_IDS:
             needed = F.broadcast(needed)
         width = self.width
         sets = F.pandas_udf(lambda t: pd.Series([shingle_set(x, width).tobytes() for x in t]), "binary")
         needed = self.docs.join(needed, "id").select("at", "id", sets("text").alias("shingles"))
-        return written(keyed.groupBy("bucket").cogroup(needed.groupBy("at")).applyInPandas(_confirm(self.percent), "a long, b long"))
+        return self.kept(keyed.groupBy("bucket").cogroup(needed.groupBy("at")).applyInPandas(_confirm(self.percent), "a long, b long"))
 
     def placed(self, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(token, coord, id, n, comp) of all lists, and those that reach several components with another hub."""
         rows = self.rows.join(comps.toDF("id", "comp"), "id", "left").select("token", "coord", "id", "n", F.coalesce("comp", "id").alias("comp"))
-        rows = written(rows)
+        rows = self.kept(rows)
         top = F.max(F.struct(F.xxhash64(F.lit(1), "id").alias("h"), "id", "comp"))
         lists = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), top.alias("top")).where("low <> high")
-        return rows, written(lists.select("token", F.col("top.id").alias("hub"), F.col("top.comp").alias("hub_comp")))
-
-    def own_shingles(self, ids: DataFrame) -> DataFrame:
-        """(id, own): how many of a document's shingles no other of these documents has."""
-        ids = written(ids)
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        width = self.width
-        sets = F.pandas_udf(lambda t: pd.Series([shingle_set(x, width).view(np.int64) for x in t]), "array<long>")
-        rows = self.docs.join(ids, "id").select("id", F.explode(sets("text")).alias("shingle"))
-        alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-        return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        return rows, self.kept(lists.select("token", F.col("top.id").alias("hub"), F.col("top.comp").alias("hub_comp")))
 
     def rest(self, rows: DataFrame, lists: DataFrame) -> DataFrame:
         """All agreeing pairs across components."""
@@ -300,11 +328,13 @@ class _Join:
         other = short.select("token", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
         near = short.select("token", F.col("id").alias("a"), "comp").join(other, "token").where("a < b and comp <> comp_b").select("a", "b").distinct()
         blocks = F.ceil(F.col("n") / BLOCK)
-        long_ = written(open_.where(F.col("n") > SHORT_LIST)).select("token", "coord", "id", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(2), "id"), blocks).alias("block"))
+        long_ = self.kept(open_.where(F.col("n") > SHORT_LIST)).select("token", "coord", "id", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(2), "id"), blocks).alias("block"))
         dealt = long_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select(
             "token", "coord", "id", "comp", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-        known = self.classes.join(long_.select("id").distinct(), "id").join(self.own_shingles(long_.select("id").distinct()), "id", "left")
-        known = written(known.select("id", "sig", "n", F.coalesce("own", F.lit(0)).alias("own"), self.mask("sig").alias("mask")))
+        ids = self.kept(long_.select("id").distinct())
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        maps = self.docs.join(ids, "id").select("id", F.pandas_udf(_bitmap(self.width), "binary")("text").alias("bits"))
+        known = self.kept(self.classes.join(maps, "id").select("id", "sig", "n", "bits", self.mask("sig").alias("mask")))
         far = dealt.join(known, "id").groupBy("token", "i", "j").applyInPandas(_across(self.matches, self.percent), "a long, b long")
         return self.agreeing(near).unionByName(far).distinct()
 
@@ -313,9 +343,11 @@ class _Join:
         edges = self.confirmed(self.agreeing(star))
         rows, lists = self.placed(components(edges))
         again = rows.join(lists, "token").where("comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        edges = written(edges.unionByName(self.confirmed(self.agreeing(again))))
+        edges = self.kept(edges.unionByName(self.confirmed(self.agreeing(again))))
         rows, lists = self.placed(components(edges))
-        return components(edges.unionByName(self.confirmed(self.rest(rows, lists))))
+        found = written(components(edges.unionByName(self.confirmed(self.rest(rows, lists)))))
+        dropped(*self.scratch)
+        return found
 
 
 def _judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -327,7 +359,7 @@ def _judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "row")).alias("first")
     members = signed.where("n > 0").groupBy("key").agg(F.min("row").alias("id"), F.max("sig").alias("sig"), F.max("n").alias("n"), first)
     classes = written(members)
-    comps = written(_Join(d.select(F.col("row").alias("id"), "text"), classes.select("id", "sig", "n"), width, percent).components())
+    comps = _Join(d.select(F.col("row").alias("id"), "text"), classes.select("id", "sig", "n"), width, percent).components()
     placed = classes.join(comps, "id", "left").select("key", "first", F.coalesce("component", "id").alias("component"))
     heads = placed.groupBy("component").agg(F.min("first").alias("head"))
     named = placed.join(heads, "component").select("key", "head")
