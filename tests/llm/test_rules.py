@@ -168,6 +168,15 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_license_runs_are_of_neighbours(spark):
+    """What stands on both sides of a consumed run is no run itself, and blanks inside a sentence don't matter."""
+    say = lambda *ids: ". ".join(license_scan.SENTENCES[k - 1] for k in ids) + "."
+    rows = [(1, say(13, 7, 8, 14)), (2, say(13, 14)), (3, say(7).replace(" ", " " * 1000)), (4, say(7, 8, 7, 8))]
+    got = {r.doc_id: (r.sentence_ids, r.licenses, r.finding) for r in license_scan.scan_licenses(docs(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got[1] == ("<13><7><8><14>", "MIT|BSD-2-Clause", "partial")
+    assert got[2][1:] == ("BSD-3-Clause", "full") and got[3][0] == "<7>" and got[4][1:] == ("MIT", "full")
+
+
 def test_license_scan_at_line_ends(spark):
     """Known sentences are found on lines of their own, over line ends and behind any padding."""
     apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License."

@@ -6,7 +6,8 @@ are found in it where they begin and end at the end of a sentence, a line or the
 text; they may go over line ends, but not over sentence ends.
 What remains is the sequence of their identifiers. Ordered rules, the more
 specific first, name a license for a run of identifiers and consume it, so a
-short notice inside a longer one isn't counted again. Identifiers that no rule
+short notice inside a longer one isn't counted again; a mark stays in its place,
+so identifiers that weren't neighbours don't become a run. Identifiers that no rule
 consumes make the finding partial.
 
 Everything is an expression over one row: no shuffle, no Python, and the size
@@ -68,8 +69,8 @@ RULES = [
     ("CC-BY-4.0", [5]),
     ("CC-BY-SA-4.0", [6]),
 ]
-#: For ORACLE only, which tries no longer raw sentence, and whole sentences only: it misses notices on lines of their own.
-LONGEST = 2 * max(map(len, SENTENCES))
+#: What stays of a run that a rule has consumed.
+MARK = "."
 
 
 def normalised(text: Column) -> Column:
@@ -97,33 +98,37 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     ids = F.coalesce(F.array_join(F.transform(identifiers(F.col("text")), lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""), F.lit(""))
     d = d.select("doc_id", ids.alias("sentence_ids")).withColumn("rest", F.col("sentence_ids"))
     for k, (_, run) in enumerate(RULES):
-        d = d.withColumn(f"r{k}", F.contains("rest", F.lit(_run(run)))).withColumn("rest", F.replace("rest", F.lit(_run(run)), F.lit("")))
+        d = d.withColumn(f"r{k}", F.contains("rest", F.lit(_run(run)))).withColumn("rest", F.replace("rest", F.lit(_run(run)), F.lit(MARK)))
     found = F.array_distinct(F.filter(F.array(*(F.when(F.col(f"r{k}"), F.lit(name)) for k, (name, _) in enumerate(RULES))), lambda x: x.isNotNull()))
-    finding = F.when(F.col("sentence_ids") == "", "none").when(F.col("rest") == "", "full").otherwise("partial")
+    finding = F.when(F.col("sentence_ids") == "", "none").when(~F.contains("rest", F.lit("<")), "full").otherwise("partial")
     return d.select("doc_id", "sentence_ids", F.array_join(found, "|").alias("licenses"), finding.alias("finding"))
 
 
 def _oracle() -> str:
-    known = ", ".join(f"('{s}', {k})" for k, s in enumerate(SENTENCES, 1))
     steps, last = [], "ids"
     for k, (_, run) in enumerate(RULES):
-        steps.append(f"s{k} AS (SELECT *, contains(rest{k}, '{_run(run)}') AS r{k}, replace(rest{k}, '{_run(run)}', '') AS rest{k + 1} FROM {last})")
+        steps.append(f"s{k} AS (SELECT *, contains(rest{k}, '{_run(run)}') AS r{k}, replace(rest{k}, '{_run(run)}', '{MARK}') AS rest{k + 1} FROM {last})")
         last = f"s{k}"
     names = ", ".join(f"CASE WHEN r{k} THEN '{name}' END" for k, (name, _) in enumerate(RULES))
     order = list(dict.fromkeys(name for name, _ in RULES))
     first = ", ".join(f"'{x}'" for x in order)
+    known = ", ".join(f"'{s}'" for s in SENTENCES)
+    any_ = "|".join(s.replace(" ", "(?: |\\n\\n)") for s in sorted(SENTENCES, key=len, reverse=True))
+    # Marks stand twice, as one match takes the mark that the next one would begin with.
     return f"""
-WITH known(s, k) AS (VALUES {known}),
-parts AS (
-  SELECT doc_id, unnest(string_split_regex(text, '{SENTENCE_END}')) AS s, generate_subscripts(string_split_regex(text, '{SENTENCE_END}'), 1) AS pos
-  FROM documents),
-norm AS (SELECT doc_id, pos, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts WHERE length(s) BETWEEN 10 AND {LONGEST}),
-seq AS (SELECT doc_id, string_agg('<' || k || '>', '' ORDER BY pos) AS sentence_ids FROM norm JOIN known USING (s) GROUP BY doc_id),
-ids AS (SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(sentence_ids, '') AS rest0 FROM documents LEFT JOIN seq USING (doc_id)),
+WITH marked AS (
+  SELECT doc_id, '|' || regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!? \\t\\r\\n]', ',', 'g'), '{SENTENCE_END}', '|', 'g') || '|' AS t FROM documents),
+norm AS (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[^a-z0-9|\\n]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '[ \\n]?\\|[ \\n|]*', '|', 'g') AS t FROM marked),
+seq AS (
+  SELECT doc_id, array_to_string(list_transform(regexp_extract_all(replace(replace(t, '|', '||'), chr(10), chr(10) || chr(10)), '[|\\n]({any_})[|\\n]', 1),
+    lambda x: '<' || list_position([{known}], replace(x, chr(10) || chr(10), ' ')) || '>'), '') AS sentence_ids
+  FROM norm),
+ids AS (SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(sentence_ids, '') AS rest0 FROM seq),
 {", ".join(steps)}
 SELECT doc_id, sentence_ids,
   array_to_string(list_filter([{first}], lambda x: list_contains([{names}], x)), '|') AS licenses,
-  CASE WHEN sentence_ids = '' THEN 'none' WHEN rest{len(RULES)} = '' THEN 'full' ELSE 'partial' END AS finding
+  CASE WHEN sentence_ids = '' THEN 'none' WHEN NOT contains(rest{len(RULES)}, '<') THEN 'full' ELSE 'partial' END AS finding
 FROM {last}
 """
 
