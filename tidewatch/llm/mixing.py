@@ -5,7 +5,7 @@ fits the remaining budget with a subset: documents are counted by exact length;
 each length gives its proportional share, rounded down; what is then left of
 the budget, at most some lengths' worth, is met by bounded-knapsack dynamic
 programming over the lengths' leftover counts (after largest-first steps, if it
-is beyond the table's bound). Within a length, documents are taken in the order
+is beyond the table's bound; should these miss the budget, over a larger table). Within a length, documents are taken in the order
 of a seeded hash of doc_id, so reruns agree.
 
 The histogram of a source has a row per distinct length and is what one task
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import columns, written
 
-#: Words of budget that the dynamic programming table spans.
+#: Words of budget that the first dynamic programming table spans.
 TABLE = 1 << 16
 RANGE_BITS = 12
 #: Rows of the (source, length) table up to which it is broadcast.
@@ -38,13 +38,26 @@ MOST = 3
 
 
 def fit_subset(lengths: list[int], left: list[int], budget: int) -> list[int]:
-    """How many documents of each length, at most `left`, come closest to `budget` words from below."""
+    """How many documents of each length, at most `left`, come closest to `budget` words from below.
+
+    Largest-first steps leave what the table spans; if that doesn't meet the budget exactly, a larger
+    table is tried, in the end one over the whole budget, so no sum is closer than the one found.
+    """
+    table = TABLE
+    while True:
+        take = _fit(lengths, left, budget, table)
+        if table >= budget or sum(a * b for a, b in zip(lengths, take, strict=True)) == budget:
+            return take
+        table *= 8
+
+
+def _fit(lengths: list[int], left: list[int], budget: int, table: int) -> list[int]:
     take = [0] * len(lengths)
     order = sorted((i for i in range(len(lengths)) if lengths[i] > 0 and left[i] > 0), key=lambda i: -lengths[i])
     for i in order:
-        if budget <= TABLE:
+        if budget <= table:
             break
-        take[i] = min(left[i], -(-(budget - TABLE) // lengths[i]), budget // lengths[i])
+        take[i] = min(left[i], -(-(budget - table) // lengths[i]), budget // lengths[i])
         budget -= take[i] * lengths[i]
     reach = np.zeros(budget + 1, bool)
     reach[0] = True
