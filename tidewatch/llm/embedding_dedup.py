@@ -3,13 +3,16 @@
 Vectors are compared within their label. Equal vectors are one node with a
 multiplicity. The nodes of a label are dealt by a hash into shards of at most
 about `capacity` nodes; one task builds a shard's graph. Every node then queries
-every shard of its label, a pair of shards at a time, so a task holds two
-shards at most. A query descends the layers and searches the ground layer with a
-beam; a beam that is full of hits is widened by expanding every node close to
-the threshold that it reaches. Some queries of each task are audited against all
-nodes of the shard: while less than `recall` of the audited hits are found, the
-beam is doubled and all queries are run again, in the end with a beam as wide as
-the shard. Hits are verified by cosine in double precision.
+every shard of its label: a task takes a pair of shards, and each queries the
+other's graph, so a link is found if either search finds it. A query descends
+the layers and searches the ground layer with a beam; a beam that is full of
+hits is widened by expanding every node close to the threshold that it reaches.
+Queries are audited against all nodes of the shard, in a random order, until
+AUDIT_HITS true hits other than of a node on itself or AUDIT_MOST queries are
+seen. While less than `recall` of these hits are found, or where fewer were seen,
+less than NEAREST of the audited queries' nearest nodes, the beam is doubled and
+all queries are run again, in the end with a beam as wide as the shard. Hits are
+verified by cosine in double precision.
 
 A task returns per node its number of hits and one link to its component
 within the task, not the pairs, so a group of near copies returns rows in
@@ -18,7 +21,7 @@ proportion to its size. The links are united to components afterwards.
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and vectors with a null label or vec_id, link with nothing; vectors
 of different lengths don't link; rows repeating a vec_id are vectors of their
-own; an empty table gives an empty result; columns besides vec_id, embedding
+own, linked and counted each by its own vector; ties have no order to decide; an empty table gives an empty result; columns besides vec_id, embedding
 and label are not read.
 """
 
@@ -37,7 +40,7 @@ SEARCH_BEAM = 64
 SLACK = 0.04
 #: Numbers in a shard: its nodes times the vectors' length.
 SHARD_NUMBERS = 1 << 19
-AUDITS, RECALL = 64, 0.98
+AUDIT_HITS, AUDIT_MOST, RECALL, NEAREST = 64, 1024, 0.98, 0.9
 BATCH = 256
 ROUNDING = 1e-5
 
@@ -205,21 +208,35 @@ class Graph:
         flat = np.concatenate(hit)
         return flat // n, flat % n
 
-    def audited_hits(self, queries: np.ndarray, threshold: float, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
-        """Hits with a beam that passes the audit: the first of SEARCH_BEAM, twice that, ... whose audited queries find enough."""
-        sample = np.random.default_rng(len(queries)).permutation(len(queries))[:AUDITS]
-        truth = (queries[sample] @ self.x.T) >= threshold
-        beam, slack = SEARCH_BEAM, SLACK
-        while beam < len(self.x):
-            row, node = self.hits(queries[sample], threshold, beam, slack)
-            if truth[row, node].sum() >= recall * truth.sum():
+    def audited_hits(self, queries: np.ndarray, threshold: float, recall: float = RECALL, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hits with a beam that passes the audit: the first of SEARCH_BEAM, twice that, ... whose audited queries find enough. same: the queries are the graph's own nodes."""
+        order, n, truth, first = np.random.default_rng(len(queries)).permutation(len(queries)), len(self.x), [], []
+        for c in range(0, min(len(queries), AUDIT_MOST), BATCH):
+            sims = queries[order[c : c + BATCH]] @ self.x.T
+            if same:
+                sims[np.arange(len(sims)), order[c : c + BATCH]] = -np.inf
+            row, node = np.nonzero(sims >= threshold)
+            truth.append(order[row + c] * n + node)
+            first.append(sims.argmax(1))
+            if sum(map(len, truth)) >= AUDIT_HITS:
                 break
+        truth, first = np.concatenate(truth), np.concatenate(first)
+        audited = order[: len(first)]
+        beam, slack = SEARCH_BEAM, SLACK
+        while beam < n:
+            if len(truth) >= AUDIT_HITS:
+                row, node = self.hits(queries[audited], threshold, beam, slack)
+                passed = np.isin(truth, audited[row] * n + node).sum() >= recall * len(truth)
+            else:
+                near = [beam_search(self.x, self.layers[0], q := queries[audited[c : c + BATCH]], self._entry(q, 0), beam)[0] for c in range(0, len(audited), BATCH)]
+                row, node = self.hits(queries[audited], threshold, beam, slack)
+                passed = (np.concatenate(near) == first[:, None]).any(1).sum() >= NEAREST * len(first) and np.isin(truth, audited[row] * n + node).all()
+            if passed:
+                return self.hits(queries, threshold, beam, slack)
             beam, slack = 2 * beam, 2 * slack
-        if beam >= len(self.x):
-            out = [np.stack(np.nonzero(queries[c : c + BATCH] @ self.x.T >= threshold), 1) + [c, 0] for c in range(0, len(queries), BATCH)]
-            found = np.concatenate(out)
-            return found[:, 0], found[:, 1]
-        return self.hits(queries, threshold, beam, slack)
+        out = [np.stack(np.nonzero(queries[c : c + BATCH] @ self.x.T >= threshold), 1) + [c, 0] for c in range(0, len(queries), BATCH)]
+        found = np.concatenate(out)
+        return found[:, 0], found[:, 1]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -229,12 +246,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep")
+    pdf = pdf.sort_values("node")
     x = unit(np.array(pdf["embedding"].tolist(), np.float64))
     graph = Graph.build(x.astype(np.float32))
     links = np.concatenate([layer.astype(np.int32).ravel() for layer in graph.layers]).tobytes()
     head = pdf.iloc[0]
-    row = (head["label"], head["dim"], head["shard"], pdf["rep"].to_numpy(np.int64).tobytes(), pdf["mult"].to_numpy(np.int64).tobytes(), x.tobytes(), links, len(graph.layers), graph.top)
+    row = (head["label"], head["dim"], head["shard"], pdf["node"].to_numpy(np.int64).tobytes(), pdf["mult"].to_numpy(np.int64).tobytes(), x.tobytes(), links, len(graph.layers), graph.top)
     return pd.DataFrame([row], columns=["label", "dim", "shard", "reps", "mults", "x", "links", "n_layers", "top"])
 
 
@@ -252,6 +269,15 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def _graph(r: pd.Series, x: np.ndarray, side: str) -> Graph:
+    flat, layers, at = np.frombuffer(r[f"links{side}"], np.int32).astype(np.int64), [], 0
+    for k in range(r[f"n_layers{side}"]):
+        width = 2 * DEGREE if k == 0 else DEGREE
+        layers.append(flat[at : at + len(x) * width].reshape(-1, width))
+        at += len(x) * width
+    return Graph(x.astype(np.float32), layers, int(r[f"top{side}"]))
+
+
 def _link(threshold: float):
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links between the nodes of one shard (i) and those of another (j), or of the same."""
@@ -260,18 +286,13 @@ def _link(threshold: float):
         reps_i, mults_i = np.frombuffer(r["reps_i"], np.int64), np.frombuffer(r["mults_i"], np.int64)
         reps_j, mults_j = np.frombuffer(r["reps"], np.int64), np.frombuffer(r["mults"], np.int64)
         x_i, x_j = np.frombuffer(r["x_i"]).reshape(one, -1), np.frombuffer(r["x"]).reshape(len(reps_j), -1)
-        flat, layers, at = np.frombuffer(r["links"], np.int32).astype(np.int64), [], 0
-        for k in range(r["n_layers"]):
-            width = 2 * DEGREE if k == 0 else DEGREE
-            layers.append(flat[at : at + len(reps_j) * width].reshape(-1, width))
-            at += len(reps_j) * width
-        graph = Graph(x_j.astype(np.float32), layers, int(r["top"]))
-        a, b = graph.audited_hits(x_i.astype(np.float32), threshold - ROUNDING)
+        a, b = _graph(r, x_j, "").audited_hits(x_i.astype(np.float32), threshold - ROUNDING, same=same)
         if same:
             a, b = np.minimum(a, b), np.maximum(a, b)
             flat = np.unique((a * len(reps_j) + b)[a != b])
         else:
-            flat = np.unique(a * len(reps_j) + b)
+            d, c = _graph(r, x_i, "_i").audited_hits(x_j.astype(np.float32), threshold - ROUNDING)
+            flat = np.unique(np.concatenate([a * len(reps_j) + b, c * len(reps_j) + d]))
         a, b = flat // len(reps_j), flat % len(reps_j)
         good = np.concatenate([np.einsum("wd,wd->w", x_i[a[k : k + 65536]], x_j[b[k : k + 65536]]) for k in range(0, len(a), 65536)] or [np.zeros(0)]) >= threshold
         a, b = a[good], b[good]
@@ -286,7 +307,7 @@ def _link(threshold: float):
         rank[order] = np.arange(len(reps))
         root = reps[order][roots(rank[a], rank[b], len(reps))[rank]]
         hit = links > 0
-        return pd.DataFrame({"rep": reps[hit], "links": links[hit], "root": root[hit]})
+        return pd.DataFrame({"node": reps[hit], "links": links[hit], "root": root[hit]})
 
     return of
 
@@ -301,25 +322,33 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, capacity: int |
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     d = d.select("vec_id", F.when(usable, F.col("label")).alias("label"), F.when(usable, F.col("embedding")).alias("embedding"))
-    nodes = written(d.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")))
+    grouped = d.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"))
+    nodes = written(grouped.withColumn("node", F.xxhash64("label", "embedding")))
 
     sized = nodes.select("*", F.size("embedding").alias("dim"))
     most = F.lit(capacity) if capacity else F.greatest(F.lit(64), F.floor(F.lit(SHARD_NUMBERS) / F.col("dim")))
     shards = sized.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).select("label", "dim", F.ceil(F.col("n") / most).alias("shards"))
-    dealt = sized.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), "shards"))
+    dealt = sized.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "node"), "shards"))
     label_type = nodes.schema["label"].dataType.simpleString()
     index = written(
-        dealt.select("label", "dim", "shard", "rep", "mult", "embedding").groupBy("label", "dim", "shard")
+        dealt.select("label", "dim", "shard", "node", "mult", "embedding").groupBy("label", "dim", "shard")
         .applyInPandas(lambda pdf: _build(pdf), f"label {label_type}, dim int, shard long, reps binary, mults binary, x binary, links binary, n_layers int, top long")
     )
-    queries = index.select("label", "dim", F.col("shard").alias("i"), F.col("reps").alias("reps_i"), F.col("mults").alias("mults_i"), F.col("x").alias("x_i"))
-    pairs = queries.join(index.withColumnRenamed("shard", "j"), ["label", "dim"]).where("i <= j")
-    found = written(pairs.groupBy("label", "dim", "i", "j").applyInPandas(lambda pdf: _link(threshold)(pdf), "rep long, links long, root long"))
-
-    comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).toDF("rep", "component")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = nodes.join(counts, "rep", "left").join(comps, "rep", "left").select(
-        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # Pairs of shards are made of their names alone and dealt by both; a shard's payload goes only where a pair needs it.
+    names = index.select("label", "dim", "shard")
+    pairs = names.withColumnRenamed("shard", "i").join(names.withColumnRenamed("shard", "j"), ["label", "dim"]).where("i <= j")
+    payload = ("reps", "mults", "x", "links", "n_layers", "top")
+    one = index.select("label", "dim", F.col("shard").alias("i"), *(F.col(c).alias(f"{c}_i") for c in payload))
+    other = index.select("label", "dim", F.col("shard").alias("j"), *payload)
+    met = pairs.join(one, ["label", "dim", "i"]).join(other, ["label", "dim", "j"])
+    found = written(met.groupBy("label", "dim", "i", "j").applyInPandas(lambda pdf: _link(threshold)(pdf), "node long, links long, root long"))
+
+    comps = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).toDF("node", "component")
+    heads = nodes.join(comps, "node").groupBy("component").agg(F.min("rep").alias("head"))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    placed = comps.join(heads, "component").select("node", "head")
+    named = nodes.join(counts, "node", "left").join(placed, "node", "left").select(
+        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("head", "rep").alias("component_id"))
     component = F.coalesce("component_id", "vec_id")
     return (
         d.join(named, ["label", "embedding"], "left")
