@@ -61,6 +61,35 @@ def test_sharding(spark):
     assert sharding.minimax_shards(docs(spark, []), 7).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=14), st.integers(1, 6))
+def test_even_cuts_keep_the_capacity(sizes, shards):
+    capacity, _ = sharding.minimax_ends(sizes, shards)
+    ends = sharding.even_ends(sizes, shards, capacity)
+    assert len(ends) == shards and ends == sorted(ends) and ends[-1] == len(sizes)
+    assert max(sum(sizes[a:b]) for a, b in zip([0, *ends], ends)) == capacity
+
+
+@pytest.mark.parametrize(("bits", "shards"), [(16, 7), (3, 7), (3, 40), (16, 1)])
+def test_sharding_is_minimax_over_equal_texts(spark, monkeypatch, bits, shards):
+    """Of whatever ranges it starts, and with columns of the operator's own names."""
+    monkeypatch.setattr(sharding, "GROUP_BITS", bits)
+    rng = np.random.default_rng(2)
+    rows = [(i, f"text {i % 500} " * int(rng.pareto(1.2) * 3 % 700), "s") for i in range(900)] + ODD
+    data = docs(spark, rows).selectExpr("*", "1 as size", "2 as ord", "3 as grp", "4 as part", "5 as shard", "6 as row")
+    got = sharding.minimax_shards(data, shards).collect()
+    groups = defaultdict(int)
+    keyed = docs(spark, rows).select(F.xxhash64(F.col("text").isNull(), F.coalesce("text", F.lit(""))).alias("k"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("n")).collect()
+    for r in keyed:
+        groups[r.k] += r.n
+    capacity, _ = sharding.minimax_ends([groups[k] for k in sorted(groups)], shards)
+    held = Counter()
+    for r in got:
+        held[r.shard] += r["size"]
+    assert len(got) == len(rows) and max(held.values()) == capacity
+    assert set(held) <= set(range(shards))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 30), st.integers(1, 5)), min_size=1, max_size=8, unique_by=lambda x: x[0]), st.integers(0, 200))
 def test_subset_is_the_closest_from_below(items, budget):
