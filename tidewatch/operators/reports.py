@@ -130,11 +130,11 @@ def scorecard(reviews: DataFrame) -> dict:
     need = ["disaster_match_strength", "location_selection_status", "country_code", "adm1_code", *LABEL_COLUMNS[:2]]
     require(reviews, *need)
     rows = reviews.na.fill("", need).select(
-        F.lower(trimmed("label_disaster_relevance")).alias("said"), F.upper(trimmed("label_primary_region")).alias("region"),
+        (F.monotonically_increasing_id() + 2).alias("row"), F.lower(trimmed("label_disaster_relevance")).alias("said"), F.upper(trimmed("label_primary_region")).alias("region"),
         F.lower(trimmed("disaster_match_strength")).alias("strength"), machine_region().alias("machine"))
-    wrong = rows.where(~F.col("said").isin(RELEVANCE)).select("said").limit(1).collect()
-    if wrong:
-        raise ValueError(f"unsupported relevance label: {wrong[0].said!r}")
+    wrong = rows.where(~F.col("said").isin(RELEVANCE)).orderBy("row").limit(1).collect()
+    if wrong:  # a sheet is one file with a header, so its first row is row 2
+        raise ValueError(f"row {wrong[0].row}: unsupported relevance label {wrong[0].said!r}")
     told, sure = F.col("said").isin("relevant", "not_relevant"), ~F.col("region").isin("", "UNCERTAIN")
     relevant = F.count_if(F.col("said") == "relevant").alias("relevant")
     a = rows.agg(

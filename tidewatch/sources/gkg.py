@@ -93,21 +93,25 @@ class GkgReader(DataSourceReader):
 
 
 class GkgStreamReader(DataSourceStreamReader):
-    """Offsets hold the names read so far, so a file that arrives late under an early name is still read; executors read the files."""
+    """An offset is the last file by time of arrival and name, whatever their number; a file that arrives late under an early name has a later time. Executors read the files."""
 
     def __init__(self, schema: T.StructType, folder: str, pattern: str):
         self.schema, self.folder, self.pattern = schema, folder, pattern
 
+    def _files(self) -> list[tuple[int, str]]:
+        with os.scandir(self.folder) as entries:
+            return sorted((x.stat().st_ctime_ns, x.name) for x in entries if fnmatch.fnmatch(x.name, self.pattern) and x.is_file())
+
     def initialOffset(self) -> dict:
-        return {"names": []}
+        return {"at": 0, "name": ""}
 
     def latestOffset(self) -> dict:
-        names = [x for x in os.listdir(self.folder) if fnmatch.fnmatch(x, self.pattern) and os.path.isfile(os.path.join(self.folder, x))]
-        return {"names": sorted(names)}
+        at, name = max(self._files(), default=(0, ""))
+        return {"at": at, "name": name}
 
     def partitions(self, start: dict, end: dict) -> list[FilePartition]:
-        new = sorted(set(end["names"]) - set(start["names"]))
-        return [FilePartition(os.path.join(self.folder, x), end["names"].index(x)) for x in new]
+        new = sorted(name for at, name in self._files() if (start["at"], start["name"]) < (at, name) <= (end["at"], end["name"]))
+        return [FilePartition(os.path.join(self.folder, name), k) for k, name in enumerate(new)]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         return _rows(partition, self.schema)

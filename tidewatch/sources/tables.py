@@ -9,6 +9,7 @@ import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +29,23 @@ def _filesystem(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at `path`, None if there is none. What `replace_table` had moved away when it was cut off comes back first."""
+    fs, target = _filesystem(spark, path)
+    if not fs.exists(target):
+        left = [x.getPath() for x in fs.globStatus(target.suffix(".*.old")) or []]
+        if not left:
+            return None
+        if not fs.rename(left[0], target):
+            raise OSError(f"{path} can't be moved back")
+    return spark.read.parquet(path)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside `path` and renames, so the table being replaced can be read by `df` itself. Works on any Hadoop file system."""
+    """Writes beside `path` and renames, so the table being replaced can be read by `df` itself. Works on any Hadoop file system.
+
+    Between the two renames there is no table at `path`; `existing` mends that.
+    """
     spark = df.sparkSession
     fs, target = _filesystem(spark, path)
     new_path = spark._jvm.org.apache.hadoop.fs.Path
@@ -49,8 +65,7 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 def update_history(spark: SparkSession, batch: DataFrame, path: str) -> dict[str, int]:
     """Merges a batch of features into the history table at `path`."""
-    fs, target = _filesystem(spark, path)
-    history = spark.read.parquet(path) if fs.exists(target) else None
+    history = existing(spark, path)
     merged = merge_history(history, batch)
     stats = merge_stats(history, batch, merged)
     replace_table(merged.orderBy("window_start", "region_id", "disaster_type"), path)
@@ -71,10 +86,17 @@ def write_sheet(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def _log_bytes(spark: SparkSession, path: str) -> int:
+    fs, target = _filesystem(spark, path)
+    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+
+
 def save_reviews(reviews: DataFrame, path: str, now: datetime | None = None) -> int:
-    """Appends valid (region_code, window_start, decision) rows to the log; an invalid row is an error and nothing is written."""
+    """Appends valid (region_code, window_start, decision) rows to the log; an invalid row, or a log of LOG_BYTES, is an error and nothing is written."""
     if reviews.where(~valid_review()).limit(1).count():
         raise ValueError("a review has an unsupported region, window or decision")
+    if _log_bytes(reviews.sparkSession, path) >= LOG_BYTES:
+        raise ValueError("the review log is full")
     at = (now or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
     reviews.select(signal_id().alias("signal_id"), "region_code", "window_start", "decision", F.lit(at).alias("reviewed_at")).write.mode("append").json(path)
     return reviews.count()
@@ -85,10 +107,17 @@ def save_review(path: str, region_code: str, window_start: str, decision: str, s
 
 
 def latest_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """The last decision on each signal, newest first. A broken line is an error."""
+    """The last line on each signal, newest first. A broken line is an error, and so is a log of more than LOG_BYTES.
+
+    Lines come in the order of the appends, and within one as they stand in its files.
+    """
+    if _log_bytes(spark, path) > LOG_BYTES:
+        raise ValueError("the review log is too large")
     log = spark.read.schema(T._parse_datatype_string(REVIEW_LOG)).option("mode", "FAILFAST").json(path)
-    # Lines of one append share the time; the decision's name makes the choice between them the same on every run.
-    return latest_by(log, "signal_id", "reviewed_at", "decision").orderBy(F.desc("reviewed_at"), "signal_id")
+    lines = log.select("*", F.col("_metadata.file_modification_time").alias("_at"), F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    several = F.when(F.col("_files") > 1, F.col("reviewed_at"))  # appends that a clock can't tell apart; one file is read as it stands
+    lines = lines.withColumn("_files", F.size(F.collect_set("_file").over(W.partitionBy("signal_id")))).withColumn("_told", several)
+    return latest_by(lines, "signal_id", "_at", "_told", "_file", "_line").select(*log.columns).orderBy(F.desc("reviewed_at"), "signal_id")
 
 
 def append_manifest(path: str, entry: dict) -> None:

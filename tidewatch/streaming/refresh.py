@@ -1,7 +1,8 @@
 """Incremental refresh: new record files, recomputed hours, merged history, new scores.
 
 A micro-batch holds new files only, so its clean records are appended to a
-silver table first and every hour they touch is recomputed from that table; a
+silver table first, but for articles that earlier batches hold (a table of ids
+tells), and every hour they touch is recomputed from that hour's folders; a
 late file thus never replaces a whole hour by a part of it. A batch that is
 run again after a failure appends under its own batch number, which is
 overwritten, so nothing is counted twice.
@@ -14,7 +15,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import hour_of
 from tidewatch.operators import anomalies, features, silver
 from tidewatch.sources import gkg, tables
 
@@ -24,14 +24,20 @@ def refresh_batch(silver_path: str, history_path: str, hazard: str, strength: st
 
     def of(records: DataFrame, batch: int) -> None:
         spark = records.sparkSession
-        tables.write_table(silver.silver(records, hazard, strength), f"{silver_path}/batch={batch}")
-        every = silver.first_wins(spark.read.parquet(silver_path), "article_id", "batch", "source_file", "record_id")
-        touched = spark.read.parquet(f"{silver_path}/batch={batch}").select(hour_of("seen_at").alias("h")).where("h is not null").distinct()
-        if not touched.limit(1).count():
-            return
-        rows = every.join(touched, hour_of("seen_at") == F.col("h"), "left_semi").drop("batch")
-        tables.update_history(spark, features.build_features(rows), history_path)
-        if after:
+        found = silver.silver(records, hazard, strength).withColumn("hour", F.date_format("seen_at", "'h'yyyyMMddHH"))
+        # A batch may come again after it was cut off: what it wrote itself counts for nothing.
+        seen = tables.existing(spark, f"{silver_path}_ids")
+        if seen is not None:
+            found = found.join(seen.where(F.col("batch") != batch).select("article_id"), "article_id", "left_anti")
+        mine = f"{silver_path}/batch={batch}"
+        found.write.mode("overwrite").option("compression", "zstd").partitionBy("hour").parquet(mine)
+        hours = [r.hour for r in spark.read.schema(found.schema).parquet(mine).where("hour is not null").select("hour").distinct().collect()]  # as many as a batch's files have hours
+        if hours:
+            # Only these hours' folders are read, in all batches; their articles differ already.
+            every = spark.read.schema(found.schema.add("batch", "long")).option("basePath", silver_path).parquet(silver_path)
+            tables.update_history(spark, features.build_features(every.where(F.col("hour").isin(hours)).drop("batch", "hour")), history_path)
+        spark.read.schema(found.schema).parquet(mine).select("article_id").write.mode("overwrite").parquet(f"{silver_path}_ids/batch={batch}")
+        if hours and after:
             after(spark, batch)
 
     return of
@@ -47,7 +53,7 @@ def run_refresh(spark: SparkSession, folder: str, state: str, hazard: str = "flo
     work = refresh_batch(f"{state}/silver", f"{state}/history", hazard, strength)
     query = stream.writeStream.foreachBatch(work).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    history = spark.read.parquet(f"{state}/history")
+    history = tables.existing(spark, f"{state}/history")
     if scores:
         tables.replace_table(anomalies.score(history, **parameters), f"{state}/scores")
     return history
