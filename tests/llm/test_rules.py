@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -207,6 +208,84 @@ def test_oracles(spark, name):
     assert rows(got) == rows(want)
 
 
+def tail(k, n, share):
+    return sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k + 1))
+
+
+def test_cutoffs_against_brute_force(spark):
+    """Every cutoff that plain binomial sums certify, the one that rejects most bad texts of each rule."""
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["word", "Other", "THIRD", "#", "x1", "!"][: rng.randint(1, 6)]) + str(rng.randint(0, 60)) for _ in range(rng.randint(12, 60))), rng.choice(["en", "fr", None])) for i in range(900)]
+    good = {i: int(rng.random() < 0.9) for i, *_ in texts}
+    data, labels = docs(spark, texts), spark.createDataFrame([(i, y, 0) for i, y in good.items()], LABEL)
+    judged = quality_rules.measured(data).join(quality_rules.label_of(labels), "doc_id")
+    risk, delta = 0.5, 0.5
+    got = quality_rules.fit_cutoffs(judged, risk, delta)
+    cells = [(r, c, x) for r, (x, cuts) in quality_rules.RULES.items() for c in cuts]
+    rows = judged.selectExpr("stratum", "quality", "n_words < 10 or 100 * n_repeat_words > 20 * n_words AS failed", *(f"{x} >= {c} AS c{k}" for k, (_, c, x) in enumerate(cells))).collect()
+    share, want = risk / len(quality_rules.RULES), {}
+    strata = {s for s in {r.stratum for r in rows} if (1 - share) ** sum(r.stratum == s and r.quality == 1 and not r.failed for r in rows) <= delta}
+    for s in strata:
+        mine = [r for r in rows if r.stratum == s and not r.failed]
+        n, best = sum(r.quality == 1 for r in mine), {}
+        for k, (rule, cut, _) in enumerate(cells):
+            lost, caught = sum(r.quality == 1 and bool(r[f"c{k}"]) for r in mine), sum(r.quality == 0 and bool(r[f"c{k}"]) for r in mine)
+            if caught and lost <= share * n and tail(lost, n, share) <= delta / (len(strata) * len(cells)):
+                best[rule] = max(best.get(rule, (0, 0)), (caught, cut))
+        want[s] = {rule: cut for rule, (_, cut) in best.items()}
+    assert got == want and any(want.values())
+
+
+def test_classifier_restated(spark):
+    """Counts, ratios and scores made again in plain Python; weights no worse than those of another method."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["lorem", "ipsum", "dolor"] if i % 3 else ["$$$", "BUY", "now!!"]) for _ in range(rng.randint(3, 30))), "en") for i in range(160)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i, *_ in rows], LABEL)
+    w, ratio, a, b = quality_classifier.train(docs(spark, rows), labels)
+    counts = {0: Counter(), 1: Counter()}
+    for i, t, _ in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            counts[int(i % 3 > 0)].update(quality_classifier.features(t).tolist())
+    totals = {y: sum(c.values()) + quality_classifier.SMOOTH * len(ratio) for y, c in counts.items()}
+    for f in set(counts[0]) | set(counts[1]):
+        want = math.log((counts[1][f] + quality_classifier.SMOOTH) / totals[1]) - math.log((counts[0][f] + quality_classifier.SMOOTH) / totals[0])
+        assert ratio[f] == pytest.approx(1.0 if f == 0 else want)
+    for r in quality_classifier.classify(docs(spark, rows), labels).collect():
+        f = quality_classifier.features(rows[r.doc_id][1]).tolist()
+        m = sum(w[k] * ratio[k] for k in f) / math.sqrt(sum(ratio[k] ** 2 for k in f))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(a * m + b))), abs=1e-4) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+    gen = np.random.default_rng(3)
+    ratio = gen.normal(size=12)
+    sets = [np.unique(gen.integers(0, 12, 6)) for _ in range(80)]
+    y = np.where([ratio[f].sum() + gen.normal() > 0 for f in sets], 1, -1)
+    x = np.zeros((80, 12))
+    for k, f in enumerate(sets):
+        x[k, f] = ratio[f] / np.linalg.norm(ratio[f])
+    bound = np.array([quality_classifier.PENALTY * 80 / (2 * (y == s).sum()) for s in y])
+    cost = lambda v: 0.5 * v @ v + (bound * np.maximum(0, 1 - y * (x @ v))).sum()
+    best = np.zeros(12)
+    for step in range(1, 20001):  # subgradient descent
+        best = best - (best - ((bound * y * (y * (x @ best) < 1)) @ x)) / step
+    assert cost(quality_classifier.descend(sets, y, ratio, 2000)) <= 1.01 * cost(best)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark):
+    """Nulls in every column, empty and long texts and repeated rows pass all stages; an empty table gives an empty result."""
+    good = "It was a plain day in the old town, and the people who lived there went about their work as they always had done. " * 2
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(k, words(k), "en", "ab"[k % 2], 1) for k in range(30)] + [(None, words(99), None, None, None), (40, None, "en", "a", 0), (41, "", "en", "a", 0), (42, good, None, None, None), (42, good, None, None, None), (43, words(7) + " end", "en", "a", 1), (44, " ".join(words(k) for k in range(500, 900)), "fr", "b", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for given_ in (rows, []):
+        data = spark.createDataFrame(given_, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            data = stage(spark, data, SMALL).cache()
+            assert data.columns == [c.split()[0] for c in schema.split(", ")]
+        pieces = corpus_pipeline.STAGES[-1][1](spark, data, SMALL).collect()
+        assert bool(pieces) == bool(given_)
+        assert not given_ or {r.doc_id for r in data.collect()} <= {i for i, *_ in rows} - {40, 41}
+
+
 def test_pipeline(spark):
     """Each stage against its contract on the smallest tables."""
     first = spark.read.parquet(f"{SMALL}/documents.parquet")

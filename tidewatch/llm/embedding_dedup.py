@@ -20,7 +20,7 @@ proportion to its size. The links are united to components afterwards.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and vectors with a null label or vec_id, link with nothing; vectors
-of different lengths don't link; rows repeating a vec_id are vectors of their
+of different lengths, however long, don't link; rows repeating a vec_id are vectors of their
 own, linked and counted each by its own vector; ties have no order to decide; an empty table gives an empty result; columns besides vec_id, embedding
 and label are not read.
 """

@@ -32,7 +32,7 @@ often, and components hang together by many pairs.
 
 Defined cases: a text without words has an empty set and is linked with
 nothing; a text with fewer words than a shingle has its whole sequence as its
-only shingle; a null id shares its class's component but is never a component's
+only shingle; very long texts have all their shingles; a null id shares its class's component but is never a component's
 name, and stays only if no document with an id is like it, and then once; rows
 repeating an id are judged each by its own text, so one row of a component
 stays, the first by id and set, and two components may have the same smallest

@@ -15,7 +15,8 @@ holds one row per source.
 
 Defined cases: a null text has no words; documents without words take 0; a null
 source is a source of its own, last in order; repeated rows count and rank each
-for themselves; an empty table gives an empty result; columns besides doc_id,
+for themselves (take_mix decides by doc_id, so rows repeating one are taken alike);
+a very long text is a length of its own; an empty table gives an empty result; columns besides doc_id,
 text and source are not read.
 """
 

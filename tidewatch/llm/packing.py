@@ -15,7 +15,8 @@ text are the ids of its white-space separated words in a row. Words are looked
 up in a bounded per-worker cache and only new ones are encoded.
 
 Defined cases: a null or empty text is the end id alone; null and repeated ids
-are documents of their own, in the order of the hash; a null source is a queue
+are documents of their own, in the order of the hash; a very long text is cut into
+as many pieces as it needs, all its ids kept; a null source is a queue
 of its own; an empty table gives an empty result; columns besides doc_id, text
 and source are not read.
 """

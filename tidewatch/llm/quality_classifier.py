@@ -16,7 +16,8 @@ The driver and a task hold arrays of 2^18 numbers, whatever the input.
 Defined cases: a null text is scored as an empty one, which has only the
 constant feature; a null doc_id is scored but never trained on; a doc_id with
 contradicting labels is not trained on; with labels of one class only, or none,
-every score is the class's smoothed share; an empty table gives an empty result;
+every score is the class's smoothed share; rows repeating a doc_id are scored, and
+counted in training, each by its own text; very long texts are scored whole; an empty table gives an empty result;
 columns besides the ones named are not read.
 """
 

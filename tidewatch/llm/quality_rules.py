@@ -12,7 +12,8 @@ stratum with too few good labels to certify anything keeps all of its texts.
 
 Defined cases: a null text counts as empty; texts with no word fail the base
 rules; a null language is the stratum ""; null labels are ignored and a doc_id
-labelled twice counts as good if any of its labels is; an empty table gives an
+labelled twice counts as good if any of its labels is; very long texts are measured
+whole; an empty table gives an
 empty result; rows repeating a doc_id are judged each by its own text; columns
 besides the ones named are never read.
 """
