@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. A stage's result is written as Parquet
 and read again as the next one's docs.
+
+Defined cases: null and empty texts fail the rules and go; rows with a null
+doc_id, language or source are rows like any other, judged by their text; rows
+repeating a doc_id are judged each by its own text, and of equal or near texts
+one row stays; very long texts go whole through every stage; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("mix_sources", mix), ("pack", packed)]
 
-#: SQL can't express the stages: certified cutoffs, MinHash, knapsack, tokenization. tests/llm hold them against brute force.
+#: SQL can't express the stages: certified cutoffs, MinHash, knapsack, tokenization. tests/llm hold the operators against brute force, and the stages on a fixture.
 ORACLE_SQL = None
 
 
