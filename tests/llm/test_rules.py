@@ -144,11 +144,23 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages(spark, rows), rules.limit(0), listed.limit(0)).collect()} == {"allow"}
 
 
+def test_url_filter_of_large_lists(spark, monkeypatch):
+    """Neither the filter nor the list is broadcast; the verdicts are the same."""
+    rows = [(i, u, "", "clash") for i, u in enumerate(URLS)]
+    rules, listed = (url_filter.as_list(spark, [*x, *((f"h{k}.test", "/", "block") for k in range(300))]) for x in (url_filter.RULES, url_filter.LISTED))
+    want = sorted(map(str, url_filter.filter_urls(pages(spark, rows), rules, listed).collect()))
+    monkeypatch.setattr(url_filter, "FILTER_ROWS", -1)
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", -1)
+    assert sorted(map(str, url_filter.filter_urls(pages(spark, rows), rules, listed).collect())) == want
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(4000).selectExpr("concat('h', id, '.com/') AS key")
-    words = url_filter.bloom_words(keys, 1024)
-    probe = spark.range(40000).selectExpr("concat('h', id, '.com/') AS key", "id").select("id", url_filter.block_of("key", 1024), url_filter.mask_of("key"))
-    hit = {r.id for r in probe.join(words, "block").where("word & mask = mask").collect()}
+    words = url_filter.bloom_words(keys, 2048)
+    assert words.count() == 2
+    probe = spark.range(40000).selectExpr("concat('h', id, '.com/') AS key", "id").select("id", url_filter.block_of("key", 2048), url_filter.mask_of("key"))
+    placed = probe.selectExpr("id", "mask", "block div 1024 AS range", "block % 1024 AS at").join(words, "range")
+    hit = {r.id for r in placed.where("words[int(at)] & mask = mask").collect()}
     assert set(range(4000)) <= hit and len(hit) < 4000 + 0.03 * 36000
 
 

@@ -9,9 +9,12 @@ test touches a single word. What passes is joined exactly with the list, which
 removes the filter's false positives; it has no false negatives. The longest
 entry that fits decides.
 
-The filter has at least 16 bits for each entry. Its words and the list are
-broadcast only up to BROADCAST_ROWS rows; beyond, both are shuffled by block
-and by key. Distinct (host, path) pairs are judged once.
+The filter has at least 16 bits for each entry. Its words are kept RANGE to a row
+and tested where the pages are read: they are broadcast up to FILTER_ROWS rows,
+which is 64 MB or a list of 33 million entries, and only candidates that pass are
+moved for the exact join. A list of more is dealt by the ranges of its filter. The
+list itself is broadcast up to BROADCAST_ROWS entries and else joined by key.
+Distinct (host, path) pairs are judged once.
 
 Defined cases: a null url or one without :// has an empty host and path and
 meets no entry; an empty path meets no entry, since entries' paths start with /;
@@ -29,6 +32,8 @@ from tidewatch.llm.common import ascii_lower, columns
 
 ADDRESS = r"://([^/?#]*)([^?#]*)"
 BROADCAST_ROWS = 1 << 16
+#: Words in a row of the filter, and rows up to which it is broadcast.
+RANGE, FILTER_ROWS = 1024, 1 << 13
 BITS_PER_ENTRY = 16
 
 #: The rules, each a host, a path and a verdict.
@@ -56,8 +61,11 @@ def mask_of(key: str) -> Column:
 
 
 def bloom_words(keys: DataFrame, blocks: int) -> DataFrame:
-    """The filter's words that are not 0: (block, word) for a column `key`."""
-    return keys.select(block_of("key", blocks), mask_of("key")).groupBy("block").agg(F.bit_or("mask").alias("word"))
+    """The filter of a column `key`: (range, words), RANGE words in a row; ranges without a key have none."""
+    words = keys.select(block_of("key", blocks), mask_of("key")).groupBy("block").agg(F.bit_or("mask").alias("word"))
+    by_place = F.map_from_entries(F.collect_list(F.struct((F.col("block") % RANGE).alias("at"), "word")))  # RANGE of them at most
+    rows = words.groupBy(F.floor(F.col("block") / RANGE).alias("range")).agg(by_place.alias("m"))
+    return rows.select("range", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(RANGE - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words"))
 
 
 def candidates(lengths: list[int]) -> Column:
@@ -76,14 +84,16 @@ def matched(addresses: DataFrame, listed: DataFrame) -> DataFrame:
     blocks = 64
     while blocks * 64 < BITS_PER_ENTRY * count:
         blocks *= 2
-    few = F.broadcast if max(count, blocks) <= BROADCAST_ROWS else lambda df: df
+    few = F.broadcast if count <= BROADCAST_ROWS else lambda df: df
+    short = F.broadcast if blocks // RANGE <= FILTER_ROWS else lambda df: df
     if not lengths:
         lengths = [0]
     keys = addresses.select("host", "path", F.explode(candidates(lengths)).alias("key"))
+    block = F.col("block")
     possible = (
-        keys.select("*", block_of("key", blocks), mask_of("key"))
-        .join(few(bloom_words(entries, blocks)), "block")
-        .where("word & mask = mask").select("host", "path", "key")
+        keys.select("*", block_of("key", blocks), mask_of("key")).withColumn("range", F.floor(block / RANGE))
+        .join(short(bloom_words(entries, blocks)), "range")
+        .where(F.get("words", (block % RANGE).cast("int")).bitwiseAND(F.col("mask")) == F.col("mask")).select("host", "path", "key")
     )
     hits = possible.join(few(entries.select("key", "verdict")), "key")
     best = F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("best")
