@@ -20,13 +20,22 @@ BASELINE = "window_start timestamp_ntz, region_id string, disaster_type string,
 
 
 def densified(features: DataFrame) -> DataFrame:
-    """A row for every series and hour between the first and the last hour of all; hours without a row count 0."""
+    """A row for every series and hour between the first and the last hour of all; hours without a row count 0.
+
+    Each row fills the gap up to its series' next one, the first also the one
+    before it: one window over the rows, dealt as the baselines are.
+    """
     ends = features.agg(F.min("window_start").alias("a"), F.max("window_start").alias("b")).first()
-    series = features.groupBy("region_id", "disaster_type").agg(F.max("country_code").alias("country_code"), F.max("adm1_code").alias("adm1_code"))
-    hours = F.explode(F.sequence(F.lit(ends.a).cast("timestamp_ntz"), F.lit(ends.b).cast("timestamp_ntz"), F.expr("INTERVAL 1 HOUR"))) if ends.a else F.explode(F.array().cast("array<timestamp_ntz>"))
-    seen = features.select(*KEY, *COUNTS, F.lit(True).alias("observed_feature_row"))
-    grid = series.select("*", hours.alias("window_start")).join(seen, KEY, "left")
-    return grid.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in COUNTS} | {"observed_feature_row": F.coalesce("observed_feature_row", F.lit(False))})
+    series = W.partitionBy("region_id", "disaster_type")
+    in_turn, hour = series.orderBy("window_start"), F.expr("INTERVAL 1 HOUR")
+    rows = features.select(
+        *KEY, *COUNTS, *(F.max(c).over(series).alias(c) for c in ("country_code", "adm1_code")),
+        F.lag("window_start").over(in_turn).alias("_before"), F.lead("window_start").over(in_turn).alias("_after"))
+    first = F.when(F.col("_before").isNull(), F.lit(ends.a).cast("timestamp_ntz")).otherwise(F.col("window_start"))
+    last = F.greatest("window_start", F.coalesce(F.col("_after") - hour, F.lit(ends.b).cast("timestamp_ntz")))
+    filled = rows.select("*", F.explode(F.sequence(first, last, hour)).alias("_hour")).withColumn("observed_feature_row", F.col("_hour") == F.col("window_start"))
+    counts = (F.when(F.col("observed_feature_row"), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c) for c in COUNTS)
+    return filled.select(F.col("_hour").alias("window_start"), *KEY[1:], "country_code", "adm1_code", *counts, "observed_feature_row")
 
 
 def rolling_baseline(values: np.ndarray, lookback: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
