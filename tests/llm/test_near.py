@@ -197,6 +197,34 @@ def test_lines_recall(spark):
     assert not any(got[a] == got[b] for a, b in unlike) and len(unlike) > 50
 
 
+def test_line_sketches_hold_the_lines_shingles(spark):
+    """What is signed and mapped are a line's shingles and no others, at every length and in every kind of line; kinds agree on shingles they share."""
+    F = line_dedup.F
+    rng = random.Random(8)
+    lines = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdef ", "漢字é仮名b", "😀😁bé漢") for n in (*range(1, 60), 700)]
+    lines += [x for k in (0, 30, 58) for x in (lines[k] + "0123456789abc", lines[120 + k] + "😀0123456789abc")]
+    made = spark.createDataFrame(list(enumerate(lines)), "id int, line string")
+    cut = {x[i : i + 10] for x in lines for i in range(max(1, len(x) - 9))}
+    names = {r.h: r.s for r in spark.createDataFrame([(s,) for s in cut], "s string").select("s", F.xxhash64(F.encode("s", "UTF-16BE")).alias("h")).collect()}
+    for size in (1, line_dedup.MAP_CHUNK, line_dedup.CHUNK):
+        got = {k: set() for k in range(len(lines))}
+        for wide in (False, True):
+            for r in line_dedup.chunks(made, size, wide, "id").collect():
+                got[r.id] |= {names.get(h) for h in r[1:]}
+        assert got == {k: char_sets(x) for k, x in enumerate(lines)}
+    for r in made.select("id", line_dedup.shingles(F.col("line")).alias("s")).collect():
+        assert {names[h] for h in r.s} == char_sets(lines[r.id])
+
+
+def test_places_of_lines(spark):
+    """Places tell document and line, in order, for numbers of every size and none."""
+    F = line_dedup.F
+    ids = [None, -(1 << 63), -(1 << 40), -(1 << 32) - 1, -(1 << 32), -1, 0, 1, (1 << 32) - 1, 1 << 32, 1 << 40, (1 << 63) - 1]
+    want = [(i, k) for i in ids for k in (0, 1, (1 << 31) - 1)]
+    made = spark.createDataFrame(want, "d long, k int").select(line_dedup.place_of(F.col("d"), F.col("k")).alias("p"))
+    assert [tuple(r.h) for r in made.orderBy("p").select(line_dedup.head_of("p").alias("h")).collect()] == want
+
+
 def test_lines_in_one_list(spark):
     """Many lines that share bands but hang together by few links."""
     rng = random.Random(13)

@@ -47,8 +47,10 @@ ROWS, GROUPS, TURNS = 4, 3, 4
 COORDINATES = (ROWS + 1) * GROUPS
 #: The coordinates of each band: those of a group but one.
 BANDS = [[c for c in range(g, g + ROWS + 1) if c != g + left] for g in range(0, COORDINATES, ROWS + 1) for left in range(ROWS + 1)]
-#: Shingles that one row of the exploded lines holds when they are signed: a power of two.
-CHUNK = 8
+#: A band's low bits are its place in BANDS, so lists are told apart by one number.
+PLACE = 15
+#: Shingles that one row of the exploded lines holds when they are signed, and when they are mapped: powers of two.
+CHUNK, MAP_CHUNK = 16, 8
 #: Words of a bitmap.
 WORDS = 16
 MAP = ["room", *(f"x{w}" for w in range(WORDS))]
@@ -66,25 +68,44 @@ def line_id(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def _places(e: Column) -> Column:
-    """The last place of a shingle in a line of four bytes a character."""
-    return F.greatest(F.octet_length(e) - 4 * (WIDTH - 1), F.lit(1))
+def _wide(line: Column) -> Column:
+    """Whether a line has characters that take two units of UTF-16."""
+    return (F.octet_length(line) >= F.length(line) + 3) & (F.octet_length(F.encode(line, "UTF-16BE")) > 2 * F.length(line))
+
+
+def _encoded(line: Column, wide: bool) -> Column:
+    """A line in `_unit(wide)` bytes a character, where a place is found at once."""
+    return F.encode(line, "UTF-32" if wide else "UTF-16BE")
+
+
+def _unit(wide: bool) -> int:
+    return 4 if wide else 2
+
+
+def _last(e: Column, wide: bool) -> Column:
+    """The place of the last shingle in an encoded line."""
+    return F.greatest(F.octet_length(e) - (_unit(wide) * WIDTH - 1), F.lit(1))
+
+
+def _hash(e: Column, place: Column, wide: bool) -> Column:
+    """The hash of a shingle, by its UTF-16 in either kind of line."""
+    cut = F.substring(e, place, F.lit(_unit(wide) * WIDTH))
+    return F.xxhash64(F.encode(F.decode(cut, "UTF-32"), "UTF-16BE") if wide else cut)
 
 
 def shingles(line: Column) -> Column:
-    """The hashes of a line's character shingles, some more than once.
+    """The hashes of a line's character shingles, some more than once; the outer transform encodes a line once."""
 
-    They are cut out of four bytes a character, where a place is found at once,
-    so the time is linear in the line; the outer transform encodes a line once.
-    """
-    hashes = F.transform(F.array(F.encode(line, "UTF-32")), lambda e: F.transform(F.sequence(F.lit(1), _places(e), F.lit(4)), lambda i: F.xxhash64(F.substring(e, i, F.lit(4 * WIDTH)))))
-    return F.get(hashes, F.lit(0))
+    def hashes(wide: bool) -> Column:
+        return F.transform(F.array(_encoded(line, wide)), lambda e: F.transform(F.sequence(F.lit(1), _last(e, wide), F.lit(_unit(wide))), lambda i: _hash(e, i, wide)))
+
+    return F.get(F.when(_wide(line), hashes(True)).otherwise(hashes(False)), F.lit(0))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of lines with a word."""
     d = columns(docs, doc_id="doc_id", text="text")
-    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.octet_length(F.ltrim("line", F.lit(" \t\n\v\f\r"))) > 0)
 
 
 def place_of(doc_id: Column, line_no: Column) -> Column:
@@ -93,18 +114,21 @@ def place_of(doc_id: Column, line_no: Column) -> Column:
 
 
 def head_of(place: str) -> Column:
-    """The (doc_id, line_no) of a place."""
+    """The (doc_id, line_no) of a place: by the bits of a long where it is one, else by division."""
+    short = F.col(place).try_cast("long")
     line_no = F.pmod(place, F.lit(LINES))
     number = ((F.col(place) - line_no) / F.lit(LINES)).cast("decimal(20,0)")
-    return F.struct(F.when(number > F.lit(str(NO_ID)).cast("decimal(20,0)"), number).cast("long").alias("doc_id"), line_no.cast("int").alias("line_no"))
+    long_ = F.when(number > F.lit(str(NO_ID)).cast("decimal(20,0)"), number).cast("long")
+    return F.struct(F.coalesce(F.shiftright(short, 31), long_).alias("doc_id"), F.coalesce(short.bitwiseAND(F.lit(LINES - 1)).cast("int"), line_no.cast("int")).alias("line_no"))
 
 
-def chunks(lines: DataFrame, size: int, *keep: str) -> DataFrame:
-    """A row for every `size` shingles of a line, with their hashes h0, h1, ...; past the line's end the last shingle stands again."""
-    e = lines.select(*keep, F.encode("line", "UTF-32").alias("e")).withColumn("last", _places(F.col("e")))
-    rows = e.select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * size))).alias("at"))
-    cut = lambda k: F.substring(F.col("e"), F.least("last", F.col("at").bitwiseOR(F.lit(4 * k))), F.lit(4 * WIDTH))  # noqa: E731  or: places are 1 plus a multiple of the chunk
-    return rows.select(*keep, *(F.xxhash64(cut(k)).alias(f"h{k}") for k in range(size)))
+def chunks(lines: DataFrame, size: int, wide: bool, *keep: str) -> DataFrame:
+    """A row for every `size` shingles of a line that is `wide` or not, with their hashes h0, h1, ...; past the line's end the last shingle stands again."""
+    unit, kind = _unit(wide), _wide(F.col("line"))
+    e = lines.where(kind if wide else ~kind).select(*keep, _encoded(F.col("line"), wide).alias("e")).withColumn("last", _last(F.col("e"), wide))
+    rows = e.select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(unit * size))).alias("at"))
+    place = lambda k: F.least("last", F.col("at").bitwiseOR(F.lit(unit * k)))  # noqa: E731  or: places are 1 plus a multiple of the chunk
+    return rows.select(*keep, *(_hash(F.col("e"), place(k), wide).alias(f"h{k}") for k in range(size)))
 
 
 def _rotated(h: Column, turn: int) -> Column:
@@ -113,25 +137,33 @@ def _rotated(h: Column, turn: int) -> Column:
 
 def signed(distinct: DataFrame) -> DataFrame:
     """(id, bands) of the lines of `distinct`; most of the minimum is taken within a row, the rest before anything is moved."""
-    turned = chunks(distinct, CHUNK, "id").select("id", *(_rotated(F.col(f"h{k}"), t).alias(f"h{k}_{t}") for k in range(CHUNK) for t in range(TURNS)))
     nearest = lambda c: F.min(F.least(*(F.col(f"h{k}_{c % TURNS}").bitwiseXOR(F.lit(NEAR[c])) for k in range(CHUNK)))).alias(f"m{c}")
-    mins = turned.groupBy("id").agg(*(nearest(c) for c in range(COORDINATES)))
-    return mins.select("id", F.array(*(F.xxhash64(F.lit(b), *(f"m{c}" for c in cs)) for b, cs in enumerate(BANDS))).alias("bands"))
+
+    def mins(wide: bool) -> DataFrame:
+        turned = chunks(distinct, CHUNK, wide, "id").select("id", *(_rotated(F.col(f"h{k}"), t).alias(f"h{k}_{t}") for k in range(CHUNK) for t in range(TURNS)))
+        return turned.groupBy("id").agg(*(nearest(c) for c in range(COORDINATES)))
+
+    return mins(False).unionByName(mins(True)).select("id", F.array(*(F.xxhash64(F.lit(b), *(f"m{c}" for c in cs)).bitwiseAND(F.lit(~PLACE)).bitwiseOR(F.lit(b)) for b, cs in enumerate(BANDS))).alias("bands"))
+
+
+def _place(band: Column) -> Column:
+    return band.bitwiseAND(F.lit(PLACE))
 
 
 def mapped(lines: DataFrame) -> DataFrame:
     """(id, room, x0, x1, ...): a bound of the shingles of each of `lines` (id, line), and the words of the bitmap of its shingles."""
-    rows = chunks(lines.select("id", "line", F.greatest(F.length("line") - (WIDTH - 1), F.lit(1)).cast("double").alias("room")), CHUNK, "id", "room")
+    sized = lines.select("id", "line", F.greatest(F.length("line") - (WIDTH - 1), F.lit(1)).cast("double").alias("room"))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int"))
-    split = rows.select("id", "room", *(c for k in range(CHUNK) for c in (F.col(f"h{k}").bitwiseAND(F.lit(WORDS - 1)).alias(f"w{k}"), bit(f"h{k}").alias(f"b{k}"))))
+    split = lambda wide: chunks(sized, MAP_CHUNK, wide, "id", "room").select("id", "room", *(c for k in range(MAP_CHUNK) for c in (F.col(f"h{k}").bitwiseAND(F.lit(WORDS - 1)).alias(f"w{k}"), bit(f"h{k}").alias(f"b{k}"))))
 
     def word(w: int) -> Column:
         found = F.lit(0).cast("long")
-        for k in range(CHUNK):
+        for k in range(MAP_CHUNK):
             found = found.bitwiseOR(F.when(F.col(f"w{k}") == w, F.col(f"b{k}")).otherwise(F.lit(0).cast("long")))
         return F.bit_or(found).alias(f"x{w}")
 
-    return split.groupBy("id", "room").agg(*(word(w) for w in range(WORDS)))
+    made = lambda wide: split(wide).groupBy("id", "room").agg(*(word(w) for w in range(WORDS)))
+    return made(False).unionByName(made(True))
 
 
 def may_be(similarity: float) -> Column:
@@ -151,12 +183,13 @@ def _sides(df: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
 
 
 def similar(pairs: DataFrame, lines: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) whose whole sets are similar enough. The union is made only where its bound leaves that open."""
     a, b = _sides(maps, *MAP)
-    met = written(pairs.join(a, "a").join(b, "b").where(may_be(similarity)).select("a", "b"))
+    met = written(pairs.join(a, "a").join(b, "b").where(may_be(similarity)).select("a", "b", (F.col("room_a") + F.col("room_b")).alias("room")))
     a, b = _sides(lines, "line")
-    both = met.join(a, "a").join(b, "b").select("a", "b", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
-    found = written(both.where(F.size(F.array_intersect("x", "y")) >= F.lit(similarity) * F.size(F.array_union("x", "y"))).select("a", "b"))
+    both = met.join(a, "a").join(b, "b").select("a", "b", "room", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    found = written(both.where((shared >= F.lit(similarity) * (F.col("room") - shared)) | (shared >= F.lit(similarity) * F.size(F.array_union("x", "y")))).select("a", "b"))
     dropped(met)
     return found
 
@@ -168,7 +201,7 @@ def across(rows: DataFrame, lines: DataFrame, maps: DataFrame, comps: DataFrame,
     both are in: by sizes and bitmaps, then on sets of 32-bit hashes with room
     for one collision. So it gives out hardly any that aren't similar.
     """
-    placed = written(rows.join(comps.toDF("id", "comp"), "id", "left").select("place", "band", "id", F.coalesce("comp", "id").alias("comp")))
+    placed = written(rows.join(comps.toDF("id", "comp"), "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp")))
     open_ = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
     left = written(placed.join(open_, "band"))
     ids = written(left.select("id").distinct())
@@ -177,11 +210,11 @@ def across(rows: DataFrame, lines: DataFrame, maps: DataFrame, comps: DataFrame,
     sets = written(_among(lines, ids).select("id", *(F.get("bands", F.lit(k)).alias(c) for k, c in enumerate(earlier)), short.alias("set")).join(maps, "id").withColumn("n", F.size("set").cast("double")))
     # Less than 100 columns, and no nulls among them, keep the join in compiled code.
     numbers = ["comp", "n", *MAP, *earlier]
-    sized = left.join(sets, "id").select("band", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("id", "place", *numbers)), "set")
-    mine, other = (sized.select("band", F.col("place").alias(f"place_{x}"), F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in (*numbers, "set"))) for x in "ab")
+    sized = left.join(sets, "id").select("band", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("id", *numbers)), "set")
+    mine, other = (sized.select("band", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in (*numbers, "set"))) for x in "ab")
     met = (mine["band"] == other["band"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & may_be(similarity)
     for k, c in enumerate(earlier):
-        met &= (F.col("place_a") <= k) | (F.col(f"{c}_a") != F.col(f"{c}_b"))
+        met &= (_place(mine["band"]) <= k) | (F.col(f"{c}_a") != F.col(f"{c}_b"))
     met &= (F.size(F.array_intersect("set_a", "set_b")).cast("double") + 1) * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity
     found = similar(mine.join(other, met).select("a", "b"), lines, maps, similarity)
     dropped(placed, left, ids, sets)
@@ -191,11 +224,13 @@ def across(rows: DataFrame, lines: DataFrame, maps: DataFrame, comps: DataFrame,
 def linked_components(distinct: DataFrame, similarity: float) -> DataFrame:
     """(id, component) of the lines that are linked with others; distinct: (id, line), which is dropped as soon as it has been read."""
     signs = written(signed(distinct.select("id", "line")))
-    posts = signs.select("id", F.posexplode("bands").alias("place", "band"))
+    posts = signs.select("id", F.explode("bands").alias("band"))
     # Two hubs of a list, others for each group of bands: lists of the same lines share theirs.
-    turn = F.element_at(F.array(*(F.lit(NEAR[g]) for g in range(GROUPS))), (F.floor(F.col("place") / (ROWS + 1)) + 1).cast("int"))
+    turn = F.lit(NEAR[GROUPS - 1])
+    for g in reversed(range(GROUPS - 1)):
+        turn = F.when(_place(F.col("band")) < (g + 1) * (ROWS + 1), F.lit(NEAR[g])).otherwise(turn)
     far = F.col("id").bitwiseXOR(turn)
-    sizes = posts.groupBy("place", "band").agg(F.count(F.lit(1)).alias("n"), F.min(far).alias("low"), F.max(far).alias("high"))
+    sizes = posts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(far).alias("low"), F.max(far).alias("high"))
     lists = written(sizes.where("n > 1").select("band", "n", *(F.col(c).bitwiseXOR(turn).alias(c) for c in ("low", "high"))))
     long_ = lists.where("n > 2")
     rows = written(posts.join(F.broadcast(long_) if long_.count() <= BROADCAST_LISTS else long_, "band"))
@@ -210,7 +245,7 @@ def linked_components(distinct: DataFrame, similarity: float) -> DataFrame:
     edges = similar(pairs, lines, maps, similarity)
     comps = written(components(edges))
     dropped(pairs, edges)
-    more = across(rows.where("n > 3").select("place", "band", "id"), lines, maps, comps, similarity)
+    more = across(rows.where("n > 3").select("band", "id"), lines, maps, comps, similarity)
     found = written(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
     dropped(rows, lines, maps, comps, more)
     return found
