@@ -216,6 +216,32 @@ def test_line_sketches_hold_the_lines_shingles(spark):
         assert {names[h] for h in r.s} == char_sets(lines[r.id])
 
 
+def test_line_bands():
+    """Few bands, so few rows for each line, in which a pair at 0.8 meets nearly always."""
+    bands, n = line_dedup.BANDS, line_dedup.COORDINATES
+    meets = lambda s: sum(s ** m.bit_count() * (1 - s) ** (n - m.bit_count()) for m in range(1 << n) if any(all(m >> c & 1 for c in b) for b in bands))
+    assert len(bands) <= 6 and meets(0.8) > 0.98 and meets(0.85) > 0.996
+    assert {c for b in bands for c in b} == set(range(n)) and len(bands) <= line_dedup.PLACE + 1
+
+
+def test_line_plans_are_small(spark, monkeypatch):
+    """Signing and mapping lines builds few Columns, and a second plan for wide lines only where there are some."""
+    F = line_dedup.F
+    made = spark.createDataFrame([(1, "one line of text é漢", False), (2, "another", False)], "id long, line string, wide boolean")
+    both = made.union(spark.createDataFrame([(3, "wide 😀", True)], "id long, line string, wide boolean"))
+    assert line_dedup.kinds(made) == (False,) and line_dedup.kinds(both) == (False, True)
+    assert both.select("wide", line_dedup._wide(F.col("line")).alias("found")).where("wide <> found").isEmpty()
+    assert made.select(line_dedup._wide(F.lit("a\U0010ffff\uffff")).alias("x"), line_dedup._wide(F.lit("\uffff\ufeff\u0fff\u00f0\u00f4")).alias("y")).where("not x or y").isEmpty()
+    calls = []
+    for name in ("bitwiseXOR", "bitwiseOR", "bitwiseAND", "alias"):
+        whole = getattr(type(F.lit(1)), name)
+        monkeypatch.setattr(type(F.lit(1)), name, lambda *a, f=whole, n=name: calls.append(n) or f(*a))
+    for found in (line_dedup.signed(made, (False,)), line_dedup.mapped(made, (False,))):
+        assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert found.count() == 2
+    assert len(calls) < 60
+
+
 def test_places_of_lines(spark):
     """Places tell document and line, in order, for numbers of every size and none."""
     F = line_dedup.F

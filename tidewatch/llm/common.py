@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/tidewatch-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """`df` as a Parquet table in the shared folder, read again.
 
     Cuts the lineage: a lost executor costs its running tasks, not the stages
@@ -48,7 +48,7 @@ def written(df: DataFrame) -> DataFrame:
     try:
         if before is not None:
             spark.conf.set(CLEANUP, "true")
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         if before is not None:
             spark.conf.set(CLEANUP, before)
