@@ -242,6 +242,47 @@ def test_line_plans_are_small(spark, monkeypatch):
     assert len(calls) < 60
 
 
+def test_line_maps_rule_out_long_unlike_lines(spark):
+    """Bitmaps tell sets apart however long they are, and rule out no pair that is similar, repeated shingles or not."""
+    F = line_dedup.F
+    rng = random.Random(17)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    lines = []
+    for n in (200, 1000, 4000, 20000):
+        for share in (0.97, 0.92, 0.88, 0.86, 0.7, 0.5):
+            base = text(n)
+            lines += [base, base[: round(n * share)] + text(n - round(n * share))]
+    lines += ["x" * 9, "x" * 10, "x" * 30000, "x" * 29990, "ab" * 500, "ab" * 300, "é漢" * 40, "é漢" * 39, "no", "nö", "😀" * 30 + lines[0], lines[0]]
+    whole = [char_sets(x) for x in lines]
+    made = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "id long, line string")
+    for which in ((False, True), (False,)):
+        narrow = [k for k, x in enumerate(lines) if len(which) > 1 or "😀" not in x]
+        maps = line_dedup.mapped(made.where(F.col("id").isin(narrow)), which)
+        assert {r.id: r.room for r in maps.collect()} == {k: len(whole[k]) for k in narrow}
+        a, b = line_dedup._sides(maps, *line_dedup.MAP)
+        met = {(r.a, r.b) for r in a.join(b, F.expr("a < b")).where(line_dedup.may_be(0.8)).select("a", "b").collect()}
+        alike = {(a, b): len(whole[a] & whole[b]) / len(whole[a] | whole[b]) for a in narrow for b in narrow if a < b}
+        assert all(p in met for p, j in alike.items() if j >= 0.8)
+        assert not [p for p in met if min(len(whole[k]) for k in p) <= 1000 and alike[p] < 0.6]
+
+
+def test_narrow_places_of_lines(spark):
+    """Places of small document numbers are longs, in the order of the others; larger numbers anywhere keep decimals."""
+    F = line_dedup.F
+    ids = [None, -(1 << 32) + 1, -(1 << 31) - 1, -1, 0, 1, 1 << 31, (1 << 32) - 1]
+    want = [(i, k) for i in ids for k in (0, 1, (1 << 31) - 1)]
+    made = spark.createDataFrame(want, "d long, k int").select(line_dedup.place_of(F.col("d"), F.col("k"), True).alias("p"))
+    assert made.schema["p"].dataType.simpleString() == "bigint"
+    assert [tuple(r.h) for r in made.orderBy("p").select(line_dedup.head_of("p", True).alias("h")).collect()] == want
+    lines = [(i, "the same line of text again\nanother line of text here") for i in ids]
+    for more, narrow in (([], True), ([1 << 32], False), ([-(1 << 32)], False), ([-(1 << 63)], False)):
+        data = docs(spark, [*lines, *((i, lines[0][1]) for i in more)])
+        assert line_dedup.narrow(data) == narrow
+        got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.kept) for r in line_dedup.dedup_lines(data).collect()}
+        assert got == {(i, k): (None, k, i is None) for i in [*ids, *more] for k in (0, 1)}
+    assert line_dedup.narrow(docs(spark, [])) and line_dedup.narrow(docs(spark, [(None, "x")]))
+
+
 def test_places_of_lines(spark):
     """Places tell document and line, in order, for numbers of every size and none."""
     F = line_dedup.F
