@@ -158,6 +158,25 @@ def test_words_give_the_ids_of_the_whole_text(texts):
         assert np.frombuffer(encode(text), "<u2").tolist() == ids[:-1]
 
 
+def test_words_are_encoded_once_apart_from_their_marks(monkeypatch):
+    """Words of every kind have the ids of the whole text; marks at their ends, however many, cost no encoding of the word again."""
+    import public_tokenizers
+
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    stems = ["straße", "cœur", "naïve", "ŉ", "ﬁne", "İstanbul", "ǆ", "ΑΣ", "ας", "don't", "it's", "a1b", "漢字", "e\u0301t", "é", "x", "theing", "Don'T", "ʰa", "ªb", "\u0130", "ⅷ", "x\u0338", "<|endoftext|>", "a<|b", "<|endoftext|>x"]
+    tails = ["", ".", ",", "###", "***", "!!", "&&&", "'", "'s", "''", ".'", "-", "--a", ")", "…", "=", "=\u0338", "<", "<|", "|", "<|endoftext|>", "\\", '"', "$$$%"]
+    texts = [x for s in stems for t in tails for x in (s + t, t + s, s + t + s, s.upper() + t)]
+    texts += [" ".join(texts[k::37]) for k in range(37)] + [" ".join(x for x in texts[k::41] if "<|" not in x) for k in range(41)]
+    for text, got, ids in zip(texts, enc.encode_all(texts), reference_ids(texts), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == ids[:-1], text
+
+    enc, seen = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    plain = enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda text: seen.append(text) or plain(text))
+    enc.encode_all(["theing thorinsh theing. theing### thorinsh*** thorinsh!! theing&&& été été###"])
+    assert not any("the" in t or "tho" in t for t in seen)
+
+
 def test_deficits_carry_on():
     served = packing.deficit_rounds({"a": 1000, "b": 3000}, {"a": 0.25, "b": 0.75}, {"a": 10.0, "b": -10.0}, 400)
     assert [sum(b - a for _, a, b in w) for w in served] == [400] * 10

@@ -12,7 +12,9 @@ a running sum over the bucket totals. Only a bucket's last sequence is padded.
 
 The tokenizer works on words: white space parts its pre-tokens, so the ids of a
 text are the ids of its white-space separated words in a row. Words are looked
-up in a bounded per-worker cache and only new ones are encoded.
+up in a bounded per-worker cache and only new ones are encoded: those of letters
+by the tokenizer's model alone, without its normalizer and splitter, which leave
+them as they are; the marks that end a word apart from it.
 
 Defined cases: a null or empty text is the end id alone; null and repeated ids
 are documents of their own, in the order of the hash; a very long text is cut into
@@ -23,6 +25,7 @@ and source are not read.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from functools import lru_cache
 from unicodedata import is_normalized
@@ -42,6 +45,10 @@ END_ID = 1
 BUCKET_CHARS, BUCKET_CHARS_MOST, BUCKETS = 2_000_000, 64_000_000, 100_000
 CACHE_WORDS = 1_500_000
 PART_WORDS, PART_TEXTS = 500, 32
+#: Marks that after a letter are a pre-token of their own; an apostrophe may begin one with letters.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The characters that stand for bytes in the tokenizer's words, where they aren't those of the same number.
+BYTE_NAMES = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174))}
 PIECES = "doc_id string, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -57,9 +64,6 @@ class WordEncoder:
         self.separator_id = self.tokenizer.token_to_id(self.SEPARATOR)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.ends_word = np.zeros(1 << 16, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends_word[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
@@ -76,41 +80,36 @@ class WordEncoder:
                 self.known[w] = ids[start:end].tobytes()
                 start = end + 1
 
-    def _spaced(self, words: list[bytes], texts: list[str]) -> None:
-        """Encodes words of lower-case letters only, each a single pre-token, whose last id tells that a word ends."""
-        for k in range(0, len(words), PART_WORDS):
-            part = words[k : k + PART_WORDS]
-            ids = self._ids(" ".join(texts[k : k + PART_WORDS]))
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-            if len(ends) != len(part):
-                self._separated(part)
-                continue
-            start = 0
-            for w, end in zip(part, ends, strict=True):
-                self.known[w] = ids[start:end].tobytes()
-                start = end
+    def _lettered(self, words: list[bytes]) -> None:
+        """Encodes words of lower-case letters only, each a single pre-token, as the tokenizer's model does."""
+        tokenize = self.tokenizer.model.tokenize
+        for w in words:
+            name = w.decode() if w.isascii() else w.decode("latin-1").translate(BYTE_NAMES)
+            ids = [t.id for t in tokenize(name)]
+            self.known[w] = struct.pack(f"<{len(ids)}H", *ids)
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + 2 * len(words) > CACHE_WORDS:
+        if len(self.known) + 3 * len(words) > CACHE_WORDS:
             self.known.clear()
-        marked = [w for w in words if b"<|" in w]  # may hold the separator itself
-        for w in marked:
-            self.known[w] = self._ids(w.decode()).tobytes()
-        # A full stop or comma after a letter is a pre-token of its own.
-        ended = [w for w in words if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122 and b"<|" not in w]
-        need = ({w[:-1] for w in ended} | {b".", b","} | set(words)).difference(ended).difference(self.known)
-        plain, texts, other = [], [], []
-        for w in need:
-            t = w.decode()
-            if t.isalpha() and t.islower() and is_normalized("NFC", t):
-                plain.append(w)
-                texts.append(t)
+        need, ended = set(), []
+        for w in words:
+            if w.isalpha():
+                need.add(w)
+            elif b"<|" in w:  # may hold the separator itself
+                self.known[w] = self._ids(w.decode()).tobytes()
+            elif (stem := w.rstrip(MARKS)) and stem != w and 97 <= stem[-1] <= 122:
+                ended.append((w, stem, w[len(stem) :]))
+                need.update(ended[-1][1:])
             else:
-                other.append(w)
-        self._spaced(plain, texts)
+                need.add(w)
+        lettered, other = [], []
+        for w in need.difference(self.known):
+            t = w.decode()
+            (lettered if t.isalpha() and t.islower() and is_normalized("NFC", t) else other).append(w)
+        self._lettered(lettered)
         self._separated(other)
-        for w in ended:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+        for w, stem, tail in ended:
+            self.known[w] = self.known[stem] + self.known[tail]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit numbers."""
