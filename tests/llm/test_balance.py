@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -177,6 +178,54 @@ def test_words_are_encoded_once_apart_from_their_marks(monkeypatch):
     assert not any("the" in t or "tho" in t for t in seen)
 
 
+def test_distinct_words_are_looked_up_once():
+    """The work in Python goes by distinct words, not by words; parts, odd ends, nulls and slices give the ids of the whole text."""
+    import public_tokenizers
+
+    class Counted(dict):
+        gets = 0
+
+        def get(self, *args):
+            self.gets += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            self.gets += 1
+            return super().__getitem__(key)
+
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    enc.known = Counted()
+    texts = ["a bee  sea.\n" * 500, "", " ", "\x0b\x0cBEE\x1cx \t", "sea. <|endoftext|> BEE", "Sea.", "<|", "bee"] * 50
+    for text, got, ids in zip(texts, enc.encode_all(texts), reference_ids(texts), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == ids[:-1], text
+    assert 0 < enc.known.gets < 500
+
+
+def test_texts_in_parts(monkeypatch):
+    """Parts end between texts, a text longer than a part is one; nulls are empty, and slices of arrays are read from where they begin."""
+    monkeypatch.setattr(packing, "PART_BYTES", 40)
+    texts = ["x" * 7, None, "one two " * 40, "", "é Ü " * 3, "<|endoftext|>", None, *["it's so."] * 20]
+    column = pa.array(["before", None, *texts, "after"]).slice(2, len(texts))
+    for kind in (pa.string(), pa.large_string()):
+        parts = list(packing._encoder(None).encode_parts(column.cast(kind)))
+        assert len(parts) > 5
+        assert [k for k, _ in parts] == [0, *np.cumsum([len(p) for _, p in parts])[:-1]]
+        got = [x for _, p in parts for x in p.to_pylist()]
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x[:-1] for x in reference_ids(texts)]
+    assert list(packing._encoder(None).encode_parts(pa.array([], pa.string()))) == []
+
+
+def test_words_known_before_the_cache_is_emptied(monkeypatch):
+    """A text of more new words than the cache holds empties it; the words known before are learned again."""
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 60)
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["alpha beta", "alpha beta " + " ".join(f"gamma{chr(97 + k % 26) * (1 + k // 26)}" for k in range(200)), "beta."]
+    for text, ids in zip(texts, reference_ids(texts), strict=True):
+        assert np.frombuffer(enc.encode(text), "<u2").tolist() == ids[:-1]
+
+
 def test_deficits_carry_on():
     served = packing.deficit_rounds({"a": 1000, "b": 3000}, {"a": 0.25, "b": 0.75}, {"a": 10.0, "b": -10.0}, 400)
     assert [sum(b - a for _, a, b in w) for w in served] == [400] * 10

@@ -11,10 +11,12 @@ to bucket: a bucket starts with what all buckets before it owe each source,
 a running sum over the bucket totals. Only a bucket's last sequence is padded.
 
 The tokenizer works on words: white space parts its pre-tokens, so the ids of a
-text are the ids of its white-space separated words in a row. Words are looked
-up in a bounded per-worker cache and only new ones are encoded: those of letters
-by the tokenizer's model alone, without its normalizer and splitter, which leave
-them as they are; the marks that end a word apart from it.
+text are the ids of its white-space separated words in a row. Texts stay in Arrow
+arrays, a few MB at a time: their words are numbered, each distinct one is looked
+up once in a bounded per-worker cache, and the ids are gathered by number. Only new
+words are encoded: those of letters by the tokenizer's model alone, without its
+normalizer and splitter, which leave them as they are; the marks that end a word
+apart from it.
 
 Defined cases: a null or empty text is the end id alone; null and repeated ids
 are documents of their own, in the order of the hash; a very long text is cut into
@@ -27,11 +29,15 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,11 +50,16 @@ END_ID = 1
 #: Characters of text in a bucket: at least, and at most where there would be more than BUCKETS.
 BUCKET_CHARS, BUCKET_CHARS_MOST, BUCKETS = 2_000_000, 64_000_000, 100_000
 CACHE_WORDS = 1_500_000
-PART_WORDS, PART_TEXTS = 500, 32
+#: Words encoded in one call; bytes of texts, or one longer text, whose words are numbered together.
+PART_WORDS, PART_BYTES = 500, 8_000_000
+#: ASCII white space, and the tokenizer's own lower-casing of A-Z.
+WHITE, LOWER = b" \t\n\r\x0b\x0c", bytes(range(256)).lower()
+IS_WHITE = np.isin(np.arange(256), list(WHITE))
 #: Marks that after a letter are a pre-token of their own; an apostrophe may begin one with letters.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The characters that stand for bytes in the tokenizer's words, where they aren't those of the same number.
 BYTE_NAMES = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174))}
+TOKENS = "doc_id string, source string, key long, bucket long, ids binary, n long"
 PIECES = "doc_id string, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -89,8 +100,6 @@ class WordEncoder:
             self.known[w] = struct.pack(f"<{len(ids)}H", *ids)
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + 3 * len(words) > CACHE_WORDS:
-            self.known.clear()
         need, ended = set(), []
         for w in words:
             if w.isalpha():
@@ -111,27 +120,68 @@ class WordEncoder:
         for w, stem, tail in ended:
             self.known[w] = self.known[stem] + self.known[tail]
 
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if not new:
+            return found
+        if len(self.known) + 3 * len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = words
+        self._learn(new)
+        return list(map(self.known.__getitem__, words)) if new is words else [self.known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def _encoded(self, raw: bytes, offsets: np.ndarray) -> pa.Array:
+        """The ids of texts that lie in a row, each from one offset to the next."""
+        white = np.flatnonzero(IS_WHITE[np.frombuffer(raw, "u1")])
+        if b"<|" in raw:  # marked texts keep their case, which the tokenizer's special tokens heed
+            texts = [raw[a:b] for a, b in pairwise(offsets.tolist())]
+            data = b"".join([t.translate(None if b"<|" in t else LOWER, WHITE) for t in texts])
+        else:
+            data = raw.translate(LOWER, WHITE)
+        # A word begins with its text or behind a white-space character, and may be empty; the characters themselves are gone from data.
+        before = np.searchsorted(white, offsets)
+        firsts = (before + np.arange(len(offsets))).astype("<i4")
+        starts, inner = np.empty(firsts[-1] + 1, "<i4"), np.ones(firsts[-1] + 1, bool)
+        inner[firsts] = False
+        starts[inner] = white - np.arange(len(white))
+        starts[firsts] = offsets - before
+        words = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        ends, distinct = views(words.dictionary)
+        distinct = bytes(distinct)
+        ids = self._ids_of([distinct[a:b] for a, b in pairwise(ends.tolist())])
+        ends = np.zeros(len(ids) + 1, "<i4")
+        np.cumsum(np.fromiter(map(len, ids), "<i4", len(ids)), out=ends[1:])
+        ids = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(ids))])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(firsts), ids.take(words.indices)), b"")
+
+    def encode_parts(self, texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+        """The ids of texts as little-endian 16-bit numbers, a part of the texts after the other: the index of its first text, its ids."""
+        k, (offsets, _) = 0, views(texts)
+        while k < len(texts):
+            end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + PART_BYTES, "right")) - 1)
+            at, raw = views(texts.slice(k, end - k).fill_null(""))
+            yield k, self._encoded(bytes(raw), at)
+            k = end
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 16-bit numbers."""
-        out = []
-        for k in range(0, len(texts), PART_TEXTS):
-            raws = [t.encode() for t in texts[k : k + PART_TEXTS]]
-            # Lower-casing A-Z is the tokenizer's own step; marked texts keep their case, which its special tokens heed.
-            split = [(r if b"<|" in r else r.lower()).split() for r in raws]
-            every = set().union(*split)
-            missing = every.difference(self.known)
-            if missing:
-                before = len(self.known)
-                self._learn(list(missing))
-                if len(self.known) < before:  # the cache was emptied
-                    self._learn([w for w in every if w not in self.known])
-            out += [b"".join(map(self.known.__getitem__, words)) for words in split]
-        return out
+        return [x for _, part in self.encode_parts(pa.array(texts, pa.string())) for x in part.to_pylist()]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
 
+def views(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Where each text begins and the last one ends, and the bytes of all."""
+    if not len(texts):
+        return np.zeros(1, "<i8"), memoryview(b"")
+    large = texts.cast(pa.large_binary())
+    _, offsets, data = large.buffers()
+    offsets = np.frombuffer(offsets, "<i8")[large.offset : large.offset + len(large) + 1]
+    return offsets - offsets[0], memoryview(data or b"")[offsets[0] : offsets[-1]]
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str | None) -> WordEncoder:
     if path is None:
@@ -142,13 +192,15 @@ def _encoder(path: str | None) -> WordEncoder:
 
 
 def _tokenize(path: str | None):
-    end = np.array([END_ID], "<u2").tobytes()
+    end = pa.scalar(np.array([END_ID], "<u2").tobytes(), pa.binary())
 
     def of(batches):
-        encode = _encoder(path).encode_all
-        for pdf in batches:
-            ids = [x + end for x in encode([x or "" for x in pdf["text"]])]
-            yield pdf.drop(columns="text").assign(ids=ids, n=[len(x) // 2 for x in ids])
+        encode_parts = _encoder(path).encode_parts
+        for batch in batches:
+            for k, ids in encode_parts(batch.column("text")):
+                ids = pc.binary_join_element_wise(ids, end, b"")
+                kept = [batch.column(name).slice(k, len(ids)) for name in ("doc_id", "source", "key", "bucket")]
+                yield pa.RecordBatch.from_arrays([*kept, ids, pc.divide(pc.binary_length(ids), 2).cast(pa.int64())], TOKENS.replace(",", "").split()[::2])
 
     return of
 
@@ -217,7 +269,7 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = WINDOW_SEQUENC
     buckets = max(1, -(-chars // min(BUCKET_CHARS_MOST, max(bucket_chars, chars // BUCKETS))))
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
     dealt = d.select(F.col("doc_id").cast("string").alias("doc_id"), "source", key.alias("key"), F.pmod(key, F.lit(buckets)).alias("bucket"), "text")
-    tokens = written(dealt.mapInPandas(_tokenize(vocabulary), "doc_id string, source string, key long, bucket long, ids binary, n long"))
+    tokens = written(dealt.mapInArrow(_tokenize(vocabulary), TOKENS))
 
     totals = written(tokens.groupBy("bucket", "source").agg(F.sum("n").alias("n")))
     whole = totals.agg(F.sum("n")).first()[0] or 1
